@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from factloom.llm.pii import op7_pii
+from factloom.llm.secret_scan import op2_secrets
 from factloom.llm.simhash import op1_simhash
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_secrets": op2_secrets,
+    "op7_pii": op7_pii,
 }
 ORACLES: dict[str, str] = {}
