@@ -59,7 +59,7 @@ def test_clean_prose_is_left_alone():
 
 
 def test_query_and_odd_rows(spark, tmp_path):
-    rows = [(1, "mail a@b.co"), (1, "mail a@b.co"), (2, None), (3, ""), (None, "ip 10.0.0.1 +1 (017) 555-7713"), (4, "1" * 200_000 + "@" + "a." * 1000 + " x@y.zz")]
+    rows = [(1, "mail a@b.co"), (1, "mail a@b.co"), (2, None), (3, ""), (None, "ip 10.0.0.1 +1 (017) 555-7713"), (4, "1" * 3000 + " é" * 100_000 + "@" + "a." * 1000 + " x@y.zz")]
     spark.createDataFrame([(d, t, "a", "b") for d, t in rows], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     got = sorted((r.doc_id, r.n_email, r.n_ip, r.n_phone, r.base_sha256, r.spans) for r in pii.op7_pii(spark, str(tmp_path)).fillna({"doc_id": -1}).collect())
     want = []
