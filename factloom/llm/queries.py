@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from factloom.llm.decontaminate import op6_decontaminate
+from factloom.llm.hash_ring import op4_sharding
+from factloom.llm.language_id import op5_language_id
+from factloom.llm.mixing import op9_mixing
 from factloom.llm.pii import op7_pii
 from factloom.llm.secret_scan import op2_secrets
 from factloom.llm.simhash import op1_simhash
@@ -9,6 +13,10 @@ from factloom.llm.simhash import op1_simhash
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_secrets": op2_secrets,
+    "op4_sharding": op4_sharding,
+    "op5_language_id": op5_language_id,
+    "op6_decontaminate": op6_decontaminate,
     "op7_pii": op7_pii,
+    "op9_mixing": op9_mixing,
 }
 ORACLES: dict[str, str] = {}
