@@ -102,13 +102,13 @@ class Benchmark:
         return [(self.ids[k], *x) for k, x in sorted(best.items())]
 
     def stretch(self, words: np.ndarray, k: int, shift: int) -> tuple | None:
-        """The best-scoring stretch along a diagonal (+1 for an equal word, -MISMATCH for another), if long enough."""
+        """The best-scoring stretch along a diagonal (+1 for an equal word, -MISMATCH for another), the longest of equals, if long enough."""
         item = self.words[k]
         s, e = max(0, shift), min(len(words), shift + len(item))
         same = words[s:e] == item[s - shift : e - shift]
         total = np.concatenate(([0], np.cumsum(np.where(same, 1, -MISMATCH))))
         gain = total - np.minimum.accumulate(total)
-        end = int(gain.argmax())
+        end = len(gain) - 1 - int(gain[::-1].argmax())
         start = int(total[: end + 1].argmin())
         matched = int(same[start:end].sum())
         if matched < min(MIN_MATCH, len(item)):

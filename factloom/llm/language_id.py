@@ -76,12 +76,14 @@ class Model:
         table, parts, self.roots, base = self.table(), [], [], 0
         for lang in self.langs:
             step = automaton(encode(texts[lang], table).tolist())
-            dense = np.full((len(step), self.width), -1, dtype=np.int64)
+            # One state more stands for a phrase of one character that the sample never has.
+            dense = np.full((len(step) + 1, self.width), -1, dtype=np.int64)
             for state, to in enumerate(step):
                 for c, q in to.items():
                     dense[state, c] = base + q * self.width
-            root = np.where(dense[0] >= 0, dense[0], base)
-            dense = np.where(dense >= 0, dense, ~root)
+            first = np.where(dense[0] >= 0, dense[0], base + len(step) * self.width)
+            dense = np.where(dense >= 0, dense, ~first)
+            dense[0] = first
             parts.append(dense.astype(np.int32).ravel())
             self.roots.append(base)
             base += dense.size
