@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.llm.common import connected, cut
@@ -94,6 +94,117 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return fps.join(of_fp, "fp").select("doc_id", "fp", "component_id", "n_links")
 
 
+# Near duplicates by the similarity of shingle sets. At a similarity of 0.8 the fingerprints of two texts differ in ten
+# bits or so, far beyond any ball that can be listed; fingerprints alone find one pair in fifty (see README). So the
+# candidates of the balls are joined by those of min-hash bands, and every candidate is verified on its shingles.
+BANDS, ROWS, NEIGHBOURS = 20, 6, 8
+_FACTORS = np.random.default_rng(3).integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+SKETCH = "key long, fp long, bands array<long>, signature binary"
+
+
+def shingle_hashes(words: list[bytes], width: int, seed: int = 42) -> np.ndarray:
+    """Hashes of the word shingles, repeats included; of the whole sequence where there are fewer words than width."""
+    n = max(1, len(words) - width + 1)
+    return np.array([xxhash.xxh64_intdigest(b" ".join(words[i : i + width]), seed) for i in range(n)], dtype="<u8")
+
+
+def key_of(words: list[bytes]) -> int:
+    return int(np.array(xxhash.xxh64_intdigest(b" ".join(words), 5), dtype="<u8").view("<i8"))
+
+
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def sketch(text: str | None, width: int) -> tuple:
+    """(key, fp, bands, signature): the text's identity, SimHash, hashes of min-hash bands, 16 bits of each minimum."""
+    words = words_of(text)
+    hashes = np.unique(shingle_hashes(words, width)) if words else np.zeros(1, "<u8")
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(hashes), 1024):
+        least = np.minimum(least, np.multiply.outer(_FACTORS, hashes[at : at + 1024]).min(axis=1))
+    bands = [xxhash.xxh64_intdigest(b.tobytes(), i) for i, b in enumerate(least.reshape(BANDS, ROWS))]
+    return key_of(words), fingerprint(text, width), np.array(bands, dtype="<u8").view("<i8"), (least >> np.uint64(48)).astype("<u2").tobytes()
+
+
+def text_key(text: Column) -> Column:
+    """Identity of a text's lower-cased words (64 bits); all texts without words share one."""
+
+    @F.pandas_udf("long")
+    def keys(texts: pd.Series) -> pd.Series:
+        return pd.Series([key_of(words_of(t)) for t in texts], dtype="int64")
+
+    return keys(text)
+
+
+def agreement(a: bytes, b: bytes) -> float:
+    """Similarity estimated from two signatures."""
+    return float((np.frombuffer(a, "<u2") == np.frombuffer(b, "<u2")).mean())
+
+
+def jaccard(a: bytes, b: bytes) -> float:
+    """Similarity of two sets given as sorted distinct 32-bit hashes."""
+    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / max(1, len(x) + len(y) - both)
+
+
+def _of_two(measure):
+    """A column function that applies measure to two binary columns."""
+
+    @F.pandas_udf("double")
+    def measured(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([measure(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+    return measured
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, width: int = 5) -> DataFrame:
+    """(key, doc_id): for each group of near duplicates the one document that stays, by text_key and smallest id.
+
+    Texts of the same lower-cased words are one class from the start. Two classes are linked if their sets of width-word
+    shingles have a Jaccard similarity of at least `similarity`; groups are what links connect. Candidates come from the
+    SimHash balls and from BANDS min-hash bands; within a band, classes are ordered by another band's hash and each is
+    compared with its NEIGHBOURS next ones, so rows grow with members, never with pairs. Null and blank texts are one
+    class. Null ids come after all others. An empty table gives no rows.
+    """
+
+    @F.pandas_udf(SKETCH)
+    def sketched(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in texts:
+            yield pd.DataFrame([sketch(t, width) for t in batch], columns=["key", "fp", "bands", "signature"])
+
+    @F.pandas_udf("binary")
+    def shingles(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in texts:
+            yield pd.Series([np.unique(shingle_hashes(words_of(t), width).astype("<u4")).tobytes() for t in batch])
+
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    each = rows.select("doc_id", sketched("text").alias("s")).select("doc_id", "s.*")
+    classes = cut(each.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("signature").alias("signature")))
+
+    by_fp = classes.groupBy("fp").agg(F.min("key").alias("first"))
+    starred = links(by_fp.select("fp")).join(by_fp, "fp").select(F.col("first").alias("a"), "centre").join(by_fp.select(F.col("fp").alias("centre"), F.col("first").alias("b")), "centre").select("a", "b")
+    same = classes.join(by_fp, "fp").selectExpr("key AS a", "first AS b")
+    bands = classes.selectExpr("key", "bands", "posexplode(bands) AS (band, value)").selectExpr("key", "band", "value", f"bands[(band + 1) % {BANDS}] AS other")
+    order = Window.partitionBy("band", "value").orderBy("other", "key").rowsBetween(1, NEIGHBOURS)
+    banded = bands.withColumn("near", F.collect_list("key").over(order)).where("size(near) > 0").selectExpr("key AS a", "explode(near) AS b")
+    pairs = starred.unionAll(same).unionAll(banded).where("a <> b").selectExpr("least(a, b) AS a", "greatest(a, b) AS b").distinct()
+
+    known = classes.select("key", "signature")
+    likely = pairs.join(known.select(F.col("key").alias("a"), F.col("signature").alias("sa")), "a").join(known.select(F.col("key").alias("b"), F.col("signature").alias("sb")), "b")
+    likely = cut(likely.where(_of_two(agreement)("sa", "sb") >= similarity - 0.15).select("a", "b"))
+    needed = likely.selectExpr("stack(2, a, b) AS key").distinct().join(classes.select("key", "doc_id"), "key")
+    texts = rows.join(needed.withColumnRenamed("doc_id", "least_id"), F.col("doc_id").eqNullSafe(F.col("least_id"))).where(text_key(F.col("text")) == F.col("key"))
+    sets = cut(texts.select("key", shingles("text").alias("set")).dropDuplicates(["key"]))
+    sided = likely.join(sets.select(F.col("key").alias("a"), F.col("set").alias("xa")), "a").join(sets.select(F.col("key").alias("b"), F.col("set").alias("xb")), "b")
+    edges = cut(sided.where(_of_two(jaccard)("xa", "xb") >= similarity).select("a", "b"))
+    roots = connected(edges, "a", "b")
+    grouped = classes.select("key", "doc_id").join(roots.withColumnRenamed("node", "key"), "key", "left").selectExpr("coalesce(root, key) AS root", "key", "doc_id")
+    first = F.min_by(F.struct("key", "doc_id"), F.struct(F.col("doc_id").isNull(), "doc_id", "key"))
+    return grouped.groupBy("root").agg(first.alias("k")).select("k.key", "k.doc_id")
+
+
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
