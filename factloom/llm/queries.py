@@ -5,6 +5,7 @@ from __future__ import annotations
 from factloom.llm.decontaminate import op6_decontaminate
 from factloom.llm.hash_ring import op4_sharding
 from factloom.llm.language_id import op5_language_id
+from factloom.llm.line_dedup import op10_line_dedup
 from factloom.llm.mixing import op9_mixing
 from factloom.llm.pii import op7_pii
 from factloom.llm.secret_scan import op2_secrets
@@ -18,5 +19,6 @@ QUERIES = {
     "op6_decontaminate": op6_decontaminate,
     "op7_pii": op7_pii,
     "op9_mixing": op9_mixing,
+    "op10_line_dedup": op10_line_dedup,
 }
 ORACLES: dict[str, str] = {}
