@@ -1,11 +1,10 @@
-"""Queries over the shared tables, one for each operator, with the SQL that must give the same rows."""
+"""Where queries register themselves: name, function of (spark, sf_dir), and the SQL that must give the same rows."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -13,7 +12,7 @@ FLAGSHIP = "j7_bitemporal_asof"
 
 
 def query(name: str, sql: str | None = None):
-    """Register a query under its name, with its oracle where SQL can express it."""
+    """Register a query; without sql it has no oracle and is tested by a fixture instead."""
 
     def keep(f):
         QUERIES[name] = f
@@ -24,19 +23,10 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
-@query(
-    "j7_bitemporal_asof",
-    """
-    SELECT user_id, max_by(event_type, struct_pack(a := ts, b := recorded, c := event_id)) AS status, max(ts) AS effective_at
-    FROM (SELECT *, ts + to_minutes(CAST(props::JSON->>'k' AS BIGINT)) AS recorded FROM events)
-    WHERE ts <= TIMESTAMP '2024-01-20 00:00:00' AND recorded <= TIMESTAMP '2024-01-20 00:00:00'
-    GROUP BY user_id
-    """,
-)
-def j7_bitemporal_asof(spark, sf_dir):
-    """Latest event per user that had happened and was known at the cut-off."""
-    cut = F.to_timestamp(F.lit("2024-01-20 00:00:00")).cast("timestamp_ntz")
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    known = events.select("user_id", "ts", "event_id", "event_type", F.expr("ts + make_dt_interval(0, 0, get_json_object(props, '$.k')::int)").alias("recorded"))
-    order = F.struct("ts", "recorded", "event_id")
-    return known.where((F.col("ts") <= cut) & (F.col("recorded") <= cut)).groupBy("user_id").agg(F.max_by("event_type", order).alias("status"), F.max("ts").alias("effective_at"))
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def rows(spark: SparkSession, values: str, columns: str) -> DataFrame:
+    """A small literal table; the same VALUES text stands in the oracle."""
+    return spark.sql(f"SELECT * FROM (VALUES {values}) AS t({columns})")

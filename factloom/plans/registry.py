@@ -1,9 +1,10 @@
-"""All registered queries and their oracles, gathered from the operator modules."""
+"""All registered queries and their oracles, gathered from the query modules."""
 
 from __future__ import annotations
 
-from factloom.plans import catalog
+from factloom.plans import aggregates, asof, catalog, decisions, identity, intervals, retrieval, texts  # noqa: F401
+from factloom.plans import sources as _sources  # noqa: F401
 
-QUERIES = dict(catalog.QUERIES)
-ORACLES = dict(catalog.ORACLES)
+QUERIES = catalog.QUERIES
+ORACLES = catalog.ORACLES
 FLAGSHIP = catalog.FLAGSHIP
