@@ -97,7 +97,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 # Near duplicates by the similarity of shingle sets. At a similarity of 0.8 the fingerprints of two texts differ in ten
 # bits or so, far beyond any ball that can be listed; fingerprints alone find one pair in fifty (see README). So the
 # candidates of the balls are joined by those of min-hash bands, and every candidate is verified on its shingles.
-BANDS, ROWS, NEIGHBOURS = 20, 6, 8
+BANDS, ROWS, NEIGHBOURS = 20, 6, 3
 _FACTORS = np.random.default_rng(3).integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SKETCH = "key long, fp long, bands array<long>, signature binary"
 
@@ -164,8 +164,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Texts of the same lower-cased words are one class from the start. Two classes are linked if their sets of width-word
     shingles have a Jaccard similarity of at least `similarity`; groups are what links connect. Candidates come from the
-    SimHash balls and from BANDS min-hash bands; within a band, classes are ordered by another band's hash and each is
-    compared with its NEIGHBOURS next ones, so rows grow with members, never with pairs. Null and blank texts are one
+    SimHash balls and from BANDS min-hash bands; within a band, classes are ordered by the hashes of the two next bands (so
+    that the most similar ones are adjacent) and each is compared with its NEIGHBOURS next ones, so rows grow with members, never with pairs. Null and blank texts are one
     class. Null ids come after all others. An empty table gives no rows.
     """
 
@@ -186,8 +186,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     by_fp = classes.groupBy("fp").agg(F.min("key").alias("first"))
     starred = links(by_fp.select("fp")).join(by_fp, "fp").select(F.col("first").alias("a"), "centre").join(by_fp.select(F.col("fp").alias("centre"), F.col("first").alias("b")), "centre").select("a", "b")
     same = classes.join(by_fp, "fp").selectExpr("key AS a", "first AS b")
-    bands = classes.selectExpr("key", "bands", "posexplode(bands) AS (band, value)").selectExpr("key", "band", "value", f"bands[(band + 1) % {BANDS}] AS other")
-    order = Window.partitionBy("band", "value").orderBy("other", "key").rowsBetween(1, NEIGHBOURS)
+    bands = classes.selectExpr("key", "bands", "posexplode(bands) AS (band, value)").selectExpr("key", "band", "value", f"bands[(band + 1) % {BANDS}] AS other", f"bands[(band + 2) % {BANDS}] AS third")
+    order = Window.partitionBy("band", "value").orderBy("other", "third", "key").rowsBetween(1, NEIGHBOURS)
     banded = bands.withColumn("near", F.collect_list("key").over(order)).where("size(near) > 0").selectExpr("key AS a", "explode(near) AS b")
     pairs = starred.unionAll(same).unionAll(banded).where("a <> b").selectExpr("least(a, b) AS a", "greatest(a, b) AS b").distinct()
 

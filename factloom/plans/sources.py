@@ -1 +1,91 @@
-"""Queries."""
+"""Source and sink queries: subtitles from literal bodies, writes over `customer` and `orders`."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from factloom.sources import sinks, subtitles
+from factloom.plans.catalog import query, rows, table
+
+STAMPS = "(1, '00:01.5'), (2, '01:02:03.045'), (3, '1:00:00,1'), (4, '00:61.000'), (5, 'x'), (6, '59:59.999'), (7, '00:00:60.000')"
+
+
+@query(
+    "s5_timestamps",
+    rf"""SELECT id, CASE WHEN regexp_matches(s, '^(?:(\d{{1,2}}):)?(\d{{2}}):(\d{{2}})[,.](\d{{1,3}})$') AND m < 60 AND sec < 60 THEN (h * 3600 + m * 60 + sec) * 1000 + ms END AS ms FROM
+    (SELECT *, coalesce(TRY_CAST(regexp_extract(s, '^(?:(\d{{1,2}}):)?(\d{{2}}):(\d{{2}})[,.](\d{{1,3}})$', 1) AS BIGINT), 0) AS h, TRY_CAST(regexp_extract(s, '^(?:(\d{{1,2}}):)?(\d{{2}}):(\d{{2}})[,.](\d{{1,3}})$', 2) AS BIGINT) AS m,
+     TRY_CAST(regexp_extract(s, '^(?:(\d{{1,2}}):)?(\d{{2}}):(\d{{2}})[,.](\d{{1,3}})$', 3) AS BIGINT) AS sec, TRY_CAST(rpad(regexp_extract(s, '^(?:(\d{{1,2}}):)?(\d{{2}}):(\d{{2}})[,.](\d{{1,3}})$', 4), 3, '0') AS BIGINT) AS ms FROM (VALUES {STAMPS}) AS t(id, s))""",
+)
+def s5_timestamps(spark, sf_dir):
+    """Subtitle time stamps in milliseconds; malformed ones are null."""
+    return rows(spark, STAMPS, "id, s").select("id", subtitles.milliseconds(F.col("s")).alias("ms"))
+
+
+VTT = "WEBVTT\n\nNOTE a remark\n\n1\n00:01.000 --> 00:02.500 align:start\nHello\nthere\n\n00:02.500 --> 00:04.000\nBye\n\nbroken block"
+
+
+@query("s4_text_cues", "SELECT * FROM (VALUES (1, 2, 1000, 2500, 'Hello' || chr(10) || 'there', true), (1, 3, 2500, 4000, 'Bye', true), (1, 4, NULL, NULL, NULL, false)) AS t(file_id, position, start_ms, end_ms, text, valid)")
+def s4_text_cues(spark, sf_dir):
+    """Cues of a VTT body with its notes and settings left out."""
+    files = spark.range(1, 2, 1, 1).select(F.col("id").cast("int").alias("file_id"), F.lit(VTT).alias("body"))
+    return subtitles.ordered_cues(subtitles.text_cues(files, "file_id", "body"), "file_id", "start_ms", "end_ms", "position")
+
+
+BODY = '{"body":[{"from":0.5,"to":1.2345,"content":"a"},{"start":"2","end":3,"text":"b"},{"from":"x","to":4}]}'
+
+
+@query("s3_json_cues", "SELECT * FROM (VALUES (1, 0, 500, 1234, 'a'), (1, 1, 2000, 3000, 'b'), (1, 2, NULL, 4000, '')) AS t(file_id, position, start_ms, end_ms, text)")
+def s3_json_cues(spark, sf_dir):
+    """Cues of a JSON body in either naming; seconds round half to even."""
+    files = spark.range(1, 2, 1, 1).select(F.col("id").cast("int").alias("file_id"), F.lit(BODY).alias("body"))
+    return subtitles.json_cues(files, "file_id", "body")
+
+
+TRACKS = "(1, 0, 'en', 'official'), (1, 1, 'zh_Hans', 'automatic'), (1, 2, 'zh-TW', 'official'), (2, 0, 'zh-CN', 'official'), (2, 1, 'zh-Hans', 'official'), (3, 0, 'en', 'official'), (4, 0, 'zh', 'automatic')"
+
+
+@query(
+    "s7_track_preference",
+    f"""SELECT v, CASE WHEN r IS NOT NULL THEN CAST(r % 100 AS INT) END AS pos, CASE r // 100 WHEN 0 THEN 'manual_zh_hans_or_zh_cn' WHEN 1 THEN 'manual_other_chinese' WHEN 2 THEN 'automatic_zh_hans_or_zh_cn' WHEN 3 THEN 'automatic_other_chinese' ELSE 'asr_required' END AS reason
+    FROM (SELECT v, min(CASE WHEN starts_with(l, 'zh') THEN (CASE src WHEN 'official' THEN 0 ELSE 2 END + CASE WHEN l IN ('zh-hans', 'zh-cn') THEN 0 ELSE 1 END) * 100 + pos END) AS r FROM (SELECT *, replace(lower(lang), '_', '-') AS l FROM (VALUES {TRACKS}) AS t(v, pos, lang, src)) GROUP BY v)""",
+)
+def s7_track_preference(spark, sf_dir):
+    """The subtitle track to take of each video."""
+    return subtitles.chinese_track(rows(spark, TRACKS, "v, pos, lang, src"), "v", "lang", "src", "pos")
+
+
+@query("s13_insert_ignore", "SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey % 3 <> 0 UNION ALL SELECT c_custkey, 'new' FROM customer WHERE c_custkey % 3 = 0 AND c_custkey % 2 = 0")
+def s13_insert_ignore(spark, sf_dir):
+    """Rows whose key exists are left as they are."""
+    base = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    return sinks.insert_ignore(base.where("c_custkey % 3 <> 0"), base.where("c_custkey % 2 = 0").withColumn("c_mktsegment", F.lit("new")), ["c_custkey"])
+
+
+@query(
+    "s15_replace_for_parent",
+    """SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 4 = 0 AND o_custkey IN (SELECT o_custkey FROM orders WHERE o_orderkey % 4 = 0) THEN 'ACTIVE'
+      WHEN o_custkey IN (SELECT o_custkey FROM orders WHERE o_orderkey % 4 = 0) THEN 'SUPERSEDED' ELSE o_orderstatus END AS status FROM orders""",
+)
+def s15_replace_for_parent(spark, sf_dir):
+    """Replacement of a parent's rows: missing ones are superseded, other parents untouched."""
+    old = table(spark, sf_dir, "orders").selectExpr("o_orderkey", "o_custkey", "o_orderstatus AS status")
+    new = old.where("o_orderkey % 4 = 0").withColumn("status", F.lit("ACTIVE"))
+    return sinks.replace_for_parent(old, new, "o_custkey", "o_orderkey", "status")
+
+
+@query("s1_filtered_scan", "SELECT l_orderkey, l_extendedprice FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-01-01' AND l_discount > 0.08")
+def s1_filtered_scan(spark, sf_dir):
+    """Scan with filters and columns pushed to the files."""
+    return table(spark, sf_dir, "lineitem").where("l_shipdate >= TIMESTAMP_NTZ '1998-01-01 00:00:00' AND l_discount > 0.08").select("l_orderkey", "l_extendedprice")
+
+
+@query("s18_index_rebuild", "SELECT lang, count(*) FILTER (n_chars >= 500) AS indexed, count(*) FILTER (n_chars < 500) AS skipped FROM documents GROUP BY lang")
+def s18_index_rebuild(spark, sf_dir):
+    """Rows that an index rebuild keeps and skips."""
+    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count_if(F.col("n_chars") >= 500).alias("indexed"), F.count_if(F.col("n_chars") < 500).alias("skipped"))
+
+
+@query("s21_array_backfill", "SELECT doc_id, CAST(generate_subscripts AS BIGINT) AS ordinal, sha256(word) AS ref FROM (SELECT doc_id, unnest(list_slice(string_split(text, ' '), 1, 3)) AS word, generate_subscripts(list_slice(string_split(text, ' '), 1, 3), 1) AS generate_subscripts FROM documents)")
+def s21_array_backfill(spark, sf_dir):
+    """Array elements as rows of their own, with their place."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.slice(F.split("text", " "), 1, 3)).alias("p", "word")).select("doc_id", (F.col("p") + 1).cast("long").alias("ordinal"), F.sha2("word", 256).alias("ref"))
