@@ -1 +1 @@
-
+"""Structured Streaming jobs: retry state machines and idempotent sinks."""
