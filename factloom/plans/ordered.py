@@ -51,8 +51,9 @@ def m2_amounts(spark, sf_dir):
     "SELECT event_id % 997 AS outbox_id, CASE WHEN bool_or(event_type <> 'error') THEN 'PUBLISHED' WHEN count(*) > 5 THEN 'DEAD_LETTER' ELSE 'RETRY' END AS status FROM events GROUP BY 1",
 )
 def q3_stream_deliveries(spark, sf_dir):
-    """Final state of outbox rows after a stream of delivery attempts, which arrive as one batch here."""
-    schema = table(spark, sf_dir, "events").schema
-    attempts = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet").selectExpr("event_id % 997 AS outbox_id", "event_type <> 'error' AS ok")
+    """Final state of outbox rows after a stream of delivery attempts, which land as files of one batch."""
+    landed = f"{run.shared_folder(spark)}/landing"
+    table(spark, sf_dir, "events").selectExpr("event_id % 997 AS outbox_id", "event_type <> 'error' AS ok").write.parquet(landed)
+    attempts = spark.readStream.schema("outbox_id long, ok boolean").parquet(landed)
     changes = run.available_now(outbox.deliveries(attempts), "update")
     return changes.groupBy("outbox_id").agg(F.max_by("status", F.struct(F.expr("status IN ('PUBLISHED', 'DEAD_LETTER')"), "attempts")).alias("status"))
