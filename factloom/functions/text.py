@@ -144,3 +144,42 @@ def drm(playlist: Column) -> Column:
     keys = F.filter(F.transform(F.split(playlist, r"\r\n|\n|\r"), lambda x: F.upper(F.trim(x))), lambda x: F.startswith(x, F.lit("#EXT-X-KEY")))
     kinds = F.transform(keys, lambda x: F.when(F.contains(x, F.lit("METHOD=NONE")), "NONE").when(F.contains(x, F.lit("METHOD=AES-128")), "AES_128").when(F.contains(x, F.lit("METHOD=SAMPLE-AES")), "SAMPLE_AES").otherwise("UNKNOWN_ENCRYPTED"))
     return F.coalesce(F.try_element_at(F.filter(kinds, lambda k: k != "NONE"), F.lit(1)), F.lit("NONE"))
+
+
+# Cues that call for a look at the picture, and fallback themes.
+CUES = {
+    "NUMERIC": r"(?<![A-Za-z0-9])\d+(?:,\d{3})*(?:\.\d+)?(?![A-Za-z0-9])",
+    "UNIT": r"\d+(?:\.\d+)?\s*(?:%|％|亿元|万亿元|万元|万|亿|倍|个|台|吨|美元|人民币|USD|CNY)",
+    "DATE": r"(?:19|20)\d{2}(?:年|[-/.])(?:0?[1-9]|1[0-2])(?:月|[-/.])?(?:0?[1-9]|[12]\d|3[01])?",
+    "TICKER": r"(?<!\d)\d{6}(?!\d)",
+    "COMPANY": r"[一-鿿A-Za-z]{2,16}(?:股份有限公司|有限公司|集团|银行|证券|科技|控股)",
+    "PRODUCT": r"(?:产品|型号|芯片|GPU|CPU|服务器|软件|平台|版本)",
+    "INDUSTRY": r"(?:行业|板块|赛道|产业链|金融|算力|半导体|银行业)",
+    "CHART": r"(?:K线|走势图|曲线|图表|成交量|均线|支撑位|压力位)",
+    "POLICY_DOCUMENT": r"(?:政策|文件|通知|公告|规划|条例|意见|增资|降准)",
+    "TARGET_CUE": r"(?:关注|關注|上游|设备|設備|弹性|彈性)",
+}
+THEMES = ("黄金", "半导体", "AI", "消费", "券商", "银行", "新能源", "医药")
+TOKEN = r"(?<!\w)(?:\d+(?:[.,]\d+)?%?|[A-Z]{1,6}(?:[.][A-Z]{1,4})?)(?!\w)"
+
+
+def cues(text: Column) -> Column:
+    """Names of the cues in a text, in their order."""
+    return F.array_compact(F.array(*[F.when(F.regexp_like(text, F.lit(p)), F.lit(k)) for k, p in CUES.items()]))
+
+
+def themes(text: Column, known: Sequence[str] = ()) -> Column:
+    """Known themes in the text, then fallback ones."""
+    return F.filter(F.array_distinct(F.array(*map(F.lit, (*known, *THEMES)))), lambda t: F.contains(text, t))
+
+
+def ungrounded(conclusion: Column, evidence: Column) -> Column:
+    """Numbers and symbols of a conclusion that its evidence lacks."""
+    return F.filter(F.array_distinct(F.regexp_extract_all(conclusion, F.lit(TOKEN), F.lit(0))), lambda t: ~F.contains(evidence, t))
+
+
+def corrections(raw: Column) -> Column:
+    """What white-space normalisation changed: one record, or none."""
+    clean = collapsed(raw)
+    record = F.struct(F.lit("WHITESPACE_NORMALIZATION").alias("type"), raw.alias("before"), clean.alias("after"))
+    return F.when(raw != clean, F.array(record)).otherwise(F.array().cast("array<struct<type: string, before: string, after: string>>"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factloom.plans import aggregates, asof, catalog, decisions, identity, intervals, knowledge, ordered, retrieval, texts  # noqa: F401
+from factloom.plans import aggregates, asof, catalog, decisions, identity, intervals, knowledge, ordered, retrieval, signals, texts  # noqa: F401
 from factloom.plans import sources as _sources  # noqa: F401
 
 QUERIES = catalog.QUERIES
