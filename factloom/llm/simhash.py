@@ -186,8 +186,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     by_fp = classes.groupBy("fp").agg(F.min("key").alias("first"))
     starred = links(by_fp.select("fp")).join(by_fp, "fp").select(F.col("first").alias("a"), "centre").join(by_fp.select(F.col("fp").alias("centre"), F.col("first").alias("b")), "centre").select("a", "b")
     same = classes.join(by_fp, "fp").selectExpr("key AS a", "first AS b")
-    bands = classes.selectExpr("key", "bands", "posexplode(bands) AS (band, value)").selectExpr("key", "band", "value", f"bands[(band + 1) % {BANDS}] AS other", f"bands[(band + 2) % {BANDS}] AS third")
-    order = Window.partitionBy("band", "value").orderBy("other", "third", "key").rowsBetween(1, NEIGHBOURS)
+    # A band's number is in its hash already; the order is by the upper halves of the two next bands' hashes.
+    following = f"(bands[(band + 1) % {BANDS}] & -4294967296L) | shiftrightunsigned(bands[(band + 2) % {BANDS}], 32)"
+    bands = classes.selectExpr("key", "bands", "posexplode(bands) AS (band, value)").selectExpr("key", "value", f"{following} AS following")
+    order = Window.partitionBy("value").orderBy("following", "key").rowsBetween(1, NEIGHBOURS)
     banded = bands.withColumn("near", F.collect_list("key").over(order)).where("size(near) > 0").selectExpr("key AS a", "explode(near) AS b")
     pairs = starred.unionAll(same).unionAll(banded).where("a <> b").selectExpr("least(a, b) AS a", "greatest(a, b) AS b").distinct()
 
