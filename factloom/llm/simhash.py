@@ -165,8 +165,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Texts of the same lower-cased words are one class from the start. Two classes are linked if their sets of width-word
     shingles have a Jaccard similarity of at least `similarity`; groups are what links connect. Candidates come from the
     SimHash balls and from BANDS min-hash bands; within a band, classes are ordered by the hashes of the two next bands (so
-    that the most similar ones are adjacent) and each is compared with its NEIGHBOURS next ones, so rows grow with members, never with pairs. Null and blank texts are one
-    class. Null ids come after all others. An empty table gives no rows.
+    that the most similar ones are adjacent) and each is compared with its NEIGHBOURS next ones. That is a first round, which
+    merges most classes: those of larger buckets that still hold several groups are then compared exactly across groups
+    (see across). Null and blank texts are one class. Null ids come after all others. An empty table gives no rows.
     """
 
     @F.pandas_udf(SKETCH)
@@ -196,17 +197,61 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known = classes.select("key", "signature")
     likely = pairs.join(known.select(F.col("key").alias("a"), F.col("signature").alias("sa")), "a").join(known.select(F.col("key").alias("b"), F.col("signature").alias("sb")), "b")
     likely = cut(likely.where(_of_two(agreement)("sa", "sb") >= similarity - 0.15).select("a", "b"))
-    needed = likely.selectExpr("stack(2, a, b) AS key").distinct().join(classes.select("key", "doc_id"), "key")
-    texts = rows.join(needed.withColumnRenamed("doc_id", "least_id"), F.col("doc_id").eqNullSafe(F.col("least_id"))).where(text_key(F.col("text")) == F.col("key"))
-    sets = cut(texts.select("key", shingles("text").alias("set")).dropDuplicates(["key"]))
-    sided = likely.join(sets.select(F.col("key").alias("a"), F.col("set").alias("xa")), "a").join(sets.select(F.col("key").alias("b"), F.col("set").alias("xb")), "b")
-    edges = cut(sided.where(_of_two(jaccard)("xa", "xb") >= similarity).select("a", "b"))
-    roots = connected(edges, "a", "b")
-    grouped = classes.select("key", "doc_id").join(roots.withColumnRenamed("node", "key"), "key", "left").selectExpr("coalesce(root, key) AS root", "key", "doc_id")
+
+    def sets_of(keys: DataFrame) -> DataFrame:
+        needed = keys.join(classes.select("key", "doc_id"), "key")
+        texts = rows.join(needed.withColumnRenamed("doc_id", "least_id"), F.col("doc_id").eqNullSafe(F.col("least_id"))).where(text_key(F.col("text")) == F.col("key"))
+        return cut(texts.select("key", shingles("text").alias("set")).dropDuplicates(["key"]))
+
+    def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        sided = pairs.join(sets.select(F.col("key").alias("a"), F.col("set").alias("xa")), "a").join(sets.select(F.col("key").alias("b"), F.col("set").alias("xb")), "b")
+        return sided.where(_of_two(jaccard)("xa", "xb") >= similarity).select("a", "b")
+
+    sets = sets_of(likely.selectExpr("stack(2, a, b) AS key").distinct())
+    roots = connected(cut(verified(likely, sets)), "a", "b")
+    grouped = cut(classes.select("key", "doc_id", "bands").join(roots.withColumnRenamed("node", "key"), "key", "left").selectExpr("coalesce(root, key) AS g", "key", "doc_id", "bands"))
+
+    # In buckets of up to NEIGHBOURS + 1 classes every pair has been compared. Larger ones that hold several groups are finished exactly.
+    spread = grouped.selectExpr("key", "g", "explode(bands) AS value")
+    unfinished = spread.groupBy("value").agg(F.count("*").alias("n"), F.min("g").alias("low"), F.max("g").alias("high")).where(f"n > {NEIGHBOURS + 1} AND low <> high")
+    open_ = cut(spread.join(unfinished.select("value"), "value", "left_semi").select("key", "g").distinct())
+    more = sets.unionAll(sets_of(open_.select("key").join(sets, "key", "left_anti")))
+    crossing = cut(across(open_.join(more, "key"), similarity))
+    merged = connected(cut(verified(crossing.select("a", "b"), more).join(crossing, ["a", "b"]).select("ga", "gb")), "ga", "gb")
+    grouped = grouped.join(merged.withColumnRenamed("node", "g"), "g", "left").selectExpr("coalesce(root, g) AS root", "key", "doc_id")
     first = F.min_by(F.struct("key", "doc_id"), F.struct(F.col("doc_id").isNull(), "doc_id", "key"))
     return grouped.groupBy("root").agg(first.alias("k")).select("k.key", "k.doc_id")
 
 
+def across(sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, ga, gb), a < b: every pair of (key, g, set) of different groups g whose sets may be similar enough.
+
+    Prefix filter, which loses nothing: with shingles ordered from rare to common, two sets of n <= m members that are
+    similar enough share one of the first n - ceil(2t / (1 + t) n) + 1 of the smaller and m - ceil(t m) + 1 of the
+    larger. Only shingles of several groups make pairs. There the largest group is never joined with itself, and the
+    other groups' rows are salted, so no shingle is one task.
+    """
+
+    @F.pandas_udf("array<long>")
+    def members(sets: pd.Series) -> pd.Series:
+        return pd.Series([np.frombuffer(x, "<u4").astype(np.int64) for x in sets], dtype=object)
+
+    t = similarity
+    listed = sets.select("key", "g", members("set").alias("m")).selectExpr("key", "g", "size(m) AS n", "explode(m) AS shingle")
+    counts = listed.groupBy("shingle").agg(F.count("*").alias("c")).where("c > 1")  # shingles of one set come first of all and meet nothing
+    ordered = listed.join(counts, "shingle").groupBy("key", "g", "n").agg(F.sort_array(F.collect_list(F.struct("c", "shingle"))).alias("s"))
+    placed = ordered.selectExpr("key", "g", "n", "posexplode(s) AS (at, x)", "n - size(s) AS alone").selectExpr("key", "g", "n", "x.shingle AS shingle", "at + alone AS at")
+    # 1e-9 keeps whole products whole.
+    prefix = cut(placed.where(f"at < n - ceil({t} * n - 1e-9) + 1").withColumn("short", F.expr(f"at < n - ceil({2 * t / (1 + t)} * n - 1e-9) + 1")))
+    held = prefix.groupBy("shingle", "g").agg(F.count("*").alias("c")).groupBy("shingle").agg(F.max_by("g", F.struct("c", "g")).alias("lead"), (F.sum("c") - F.max("c")).alias("others"))
+    keyed = prefix.join(held.where("others > 0").selectExpr("shingle", "lead", "1 + others div 500 AS salts"), "shingle")
+    few = keyed.where("g <> lead").selectExpr("shingle", "pmod(xxhash64(key), salts) AS salt", "key AS ka", "g AS fa", "n AS na", "at AS pa", "short AS ia")
+    every = keyed.selectExpr("shingle", "explode(sequence(0L, salts - 1)) AS salt", "key AS kb", "g AS fb", "n AS nb", "at AS pb", "short AS ib")
+    met = few.join(every, ["shingle", "salt"]).where("fa <> fb AND IF((na, ka) < (nb, kb), ia, ib)")
+    met = met.where(f"least(na, nb) >= {t} * greatest(na, nb) - 1e-9 AND least(na - pa, nb - pb) >= {t / (1 + t)} * (na + nb) - 1e-9")
+    return met.selectExpr("least(ka, kb) AS a", "greatest(ka, kb) AS b", "IF(ka < kb, fa, fb) AS ga", "IF(ka < kb, fb, fa) AS gb").distinct()
+
+
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = components(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -1,6 +1,8 @@
 import random
 from collections import Counter
 
+import numpy as np
+
 import corpus_pipeline as cp
 from factloom.llm import mixing, simhash
 
@@ -102,3 +104,21 @@ def test_whole_run(spark, tmp_path):
 def test_key_ignores_case_and_space_only():
     key = lambda t: simhash.key_of(simhash.words_of(t))
     assert key("A b\nc") == key("a B  C") != key("ab c") and key(None) == key(" ")
+
+
+def test_buckets_of_hundreds_are_finished_exactly(spark, monkeypatch):
+    # One band of one row puts nearly all of these in one bucket, in which next ones are seldom the alike ones.
+    monkeypatch.setattr(simhash, "sketch", lambda t, width, real=simhash.sketch: (*real(t, width)[:2], np.full(simhash.BANDS, 7), bytes(2 * simhash.BANDS * simhash.ROWS)))
+    r = random.Random(21)
+    base, rows = words(r, 120), []
+    for i in range(150):
+        w = list(base)
+        for at in r.sample(range(120), 9):  # about half of the shingles change
+            w[at] = f"own{i}x{at}"
+        rows.append((2 * i, " ".join(w), "s0"))
+        for k in range(i % 3):  # copies within 0.8
+            w = rows[-1][1].split()
+            w[r.randrange(120)] = f"edit{i}x{k}"
+            rows.append((1000 + 2 * i + k, " ".join(w), "s1"))
+    got = [x.doc_id for x in simhash.near_duplicates(table(spark, rows)).collect()]
+    assert sorted(got) == kept_ids(rows) and len(got) < len(rows)
