@@ -3,7 +3,7 @@
 Terms are weighted by their document frequency over all documents (counted by Spark for the templates' terms only, a
 few hundred, so the counts are bounded; other terms weigh as if unseen). A text's header lines, and paragraphs of
 adjacent lines, that speak of licensing are compared with every template; the best one at or above the threshold is
-the document's own licence. Licence files give theirs to their directory. Directories, not documents, walk up their
+the document's own licence; one that states a licence which no template matches is `unknown` and inherits none. Licence files give theirs to their directory. Directories, not documents, walk up their
 ancestors by joins on the path; documents then take what their own directory has found.
 """
 
@@ -61,6 +61,26 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "CC0-1.0": ("To the extent possible under law, the author has waived all copyright. CC0 1.0 Universal public domain dedication", "SPDX-License-Identifier: CC0-1.0"),
     "Unlicense": ("This is free and unencumbered software released into the public domain.", "SPDX-License-Identifier: Unlicense"),
 }
+#: Creative Commons licences by attribution, in short and long wording, for each version.
+CREATIVE_COMMONS = {
+    "BY": ("Attribution",),
+    "BY-SA": ("Attribution-ShareAlike",),
+    "BY-ND": ("Attribution-NoDerivatives", "Attribution-NoDerivs"),
+    "BY-NC": ("Attribution-NonCommercial", "Attribution-Non-Commercial"),
+    "BY-NC-SA": ("Attribution-NonCommercial-ShareAlike", "Attribution-Non-Commercial-ShareAlike"),
+    "BY-NC-ND": ("Attribution-NonCommercial-NoDerivatives", "Attribution-NonCommercial-NoDerivs"),
+}
+for _kind, _names in CREATIVE_COMMONS.items():
+    for _version in ("1.0", "2.0", "2.5", "3.0", "4.0"):
+        _short = [f"Licensed under {x} {_version}." for x in (f"CC {_kind}", f"CC-{_kind}", f"CC {_kind.replace('-', ' ')}")]
+        _long = [f"This work is licensed under a Creative Commons {x} {_version} International License." for n in _names for x in (n, n.replace("-", " "))]
+        _links = [f"SPDX-License-Identifier: CC-{_kind}-{_version}", f"https://creativecommons.org/licenses/{_kind.lower()}/{_version}/ license"]
+        TEMPLATES[f"CC-{_kind}-{_version}"] = tuple(dict.fromkeys((*TEMPLATES.get(f"CC-{_kind}-{_version}", ()), *_short, *_long, *_links)))
+
+#: What a text has whose stated licence no template matches.
+UNKNOWN = "unknown"
+STATED = re.compile(r"\blicen[sc]ed\s+(?:to\s+\S+\s+)?under\b|\b(?:released|distributed|published|available|provided)\s+under\b[^.]{0,80}\blicen[sc]e|spdx-license-identifier\s*:\s*\S")
+
 VOCABULARY = frozenset(t for texts in TEMPLATES.values() for x in texts for t in TERM.findall(x.lower()))
 
 
@@ -103,11 +123,14 @@ def units(text: str) -> list[str]:
 
 
 def own_license(text: str | None, weights: Weights, threshold: float = THRESHOLD) -> tuple[str | None, float]:
-    """The best template's name and cosine, or None with the best cosine below the threshold (0 where nothing speaks of it)."""
+    """The best template's name and cosine; below the threshold UNKNOWN where a licence is stated, else None (0 where nothing speaks of it)."""
     if not text or not hinted(text.lower()):
         return None, 0.0
-    score, name = max(map(weights.best, units(text)), default=(0.0, None))
-    return (name if score >= threshold else None), round(min(1.0, score), 6)
+    told = units(text)
+    score, name = max(map(weights.best, told), default=(0.0, None))
+    if score < threshold:
+        name = UNKNOWN if any(STATED.search(x.lower()) for x in told) else None
+    return name, round(min(1.0, score), 6)
 
 
 def term_frequencies(docs: DataFrame, text: Column) -> tuple[int, dict[str, int]]:

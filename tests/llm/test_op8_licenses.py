@@ -54,3 +54,21 @@ def test_cosine_by_hand():
     norm = math.sqrt(sum(v * v for v in mit.values())) * math.sqrt(sum(v * v for v in text.values()))
     assert math.isclose(sum(v * w.unit("the MIT license, other").get(t, 0) for t, v in w.unit(MIT).items()), dot / norm)
     assert ls.own_license("the words mean nothing", w) == (None, 0.0)
+
+
+def test_restrictive_and_unmatched_licences_are_told(spark):
+    w = ls.Weights(1000, {"licensed": 300, "under": 900, "cc": 200, "4.0": 200, "the": 999, "license": 300})
+    for text, name in (
+        ("Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0"),
+        ("Licensed under CC BY 4.0.", "CC-BY-4.0"),
+        ("Licensed under CC BY NC ND 4.0.", "CC-BY-NC-ND-4.0"),
+        ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 3.0 Unported License.", "CC-BY-NC-SA-3.0"),
+        ("This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.", "CC-BY-ND-4.0"),
+        ("SPDX-License-Identifier: CC-BY-NC-ND-4.0", "CC-BY-NC-ND-4.0"),
+        ("Licensed under Quux Corporation internal evaluation terms, revision seven.", ls.UNKNOWN),
+        ("You need a license to drive.", None),
+    ):
+        assert ls.own_license(text, w)[0] == name, text
+    rows = [(1, MIT, "a/LICENSE", "x"), (2, "Licensed under Quux Corporation internal evaluation terms, revision seven.", "a/b.txt", "x"), (3, "Licensed under CC BY-NC 4.0.", "a/c.txt", "x")]
+    got = {r.doc_id: (r.license, r.inherited_from) for r in ls.scan(spark.createDataFrame(rows, SCHEMA), "doc_id", "text", "path").collect()}
+    assert got == {1: ("MIT", None), 2: (ls.UNKNOWN, None), 3: ("CC-BY-NC-4.0", None)}
