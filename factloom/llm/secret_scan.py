@@ -3,7 +3,7 @@
 The novelty of a string is the number of bytes that it adds to the compressed size of the code around it, for each of
 its characters, when the compressor starts from a dictionary of common identifiers. Names, words and repeated values
 are in the dictionary or the surroundings and cost little; random material cannot be told more briefly. A string in a
-sensitive context (a credential word shortly before it) whose novelty reaches a threshold is reported as `novel`.
+sensitive context (a credential word shortly before it, on its line or the line above) whose novelty reaches a threshold is reported as `novel`.
 
 All work is per row inside Arrow batches, with no shuffle; offsets are code points of the whole text.
 """
@@ -26,9 +26,9 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # runs are maximal, so failing shorter ones need no match
 ASSIGN_WORDS = (b"password", b"passwd", b"secret", b"token", b"api")
 
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{16,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{12,}")
 CONTEXT_WORDS = (b"secret", b"token", b"passw", b"pwd", b"credential", b"bearer", b"auth", b"private", b"api", b"key", b"signature")
-CONTEXT = re.compile(r"(?:secret|token|passw|pwd|credential|bearer|auth|private|api|key|signature)[^\n]{0,40}\Z", re.I | re.A)
+CONTEXT = re.compile(r"(?:secret|token|passw|pwd|credential|bearer|auth|private|api|key|signature)[^\n]{0,40}(?:\n[^\n]{0,40})?\Z", re.I | re.A)
 
 #: Primes the compressor: identifiers, words and values that code repeats and that are no secrets.
 IDENTIFIERS = (
@@ -79,9 +79,7 @@ def scan(text: str | None, novelty: Novelty, threshold: float = 0.75) -> list[di
         taken = sorted(found)
         for m in CANDIDATE.finditer(text):
             s, e = m.span()
-            value = m.group()
-            mixed = sum(c.isdigit() for c in value) >= 2 and sum(c.isalpha() for c in value) >= 2
-            if mixed and CONTEXT.search(text, max(0, s - 60), s) and not any(a < e and s < b for a, b, _ in taken) and novelty(text, s, e) >= threshold:
+            if CONTEXT.search(text, max(0, s - 100), s) and not any(a < e and s < b for a, b, _ in taken) and novelty(text, s, e) >= threshold:
                 found.append((s, e, "novel"))
     found.sort(key=lambda x: (x[0], KINDS.index(x[2])))
     return [{"kind": k, "start": s, "end": e, "novelty": round(novelty(text, s, e), 4)} for s, e, k in found]

@@ -62,3 +62,18 @@ def test_query_and_odd_rows(spark, tmp_path):
 
 def test_empty_table(spark):
     assert secret_scan.find_secrets(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_novelty_alone_decides():
+    r = random.Random(7)
+    for letters in (string.ascii_letters, string.digits, string.ascii_letters + "7", string.ascii_letters + string.digits):
+        for n in (12, 16, 20, 32):
+            for _ in range(50):
+                value = "".join(r.choice(letters) for _ in range(n))
+                assert [(x["start"], x["end"]) for x in secret_scan.scan(f"auth bearer {value} end", NOVELTY)] == [(12, 12 + n)], value
+
+
+def test_value_on_the_next_line():
+    value = "qTzWvKpLmXrJhBnYcGdF"
+    assert [x["kind"] for x in secret_scan.scan(f"private key:\n    {value}\n", NOVELTY)] == ["novel"]
+    assert secret_scan.scan(f"private key:\n\n{value}\n", NOVELTY) == []  # two line breaks away
