@@ -3,7 +3,7 @@
 A mask selects some of SPAN successive words and ignores the others, so a hit survives substitutions at the ignored
 places; several masks with different gaps cover the common patterns. Words of documents are hashed under each mask and
 looked up among the benchmark's; around every hit the two texts are compared word by word along the diagonal, and the
-best stretch with four in five words equal counts if it is long enough.
+best of all stretches that are long enough and have four in five words equal counts.
 
 The benchmark is the small side, but its size is checked: it is cut into slices of at most MAX_WORDS words (by hash of
 the item), each broadcast in its own pass over the documents, so memory is bounded whatever its size. Documents are
@@ -102,17 +102,20 @@ class Benchmark:
         return [(self.ids[k], *x) for k, x in sorted(best.items())]
 
     def stretch(self, words: np.ndarray, k: int, shift: int) -> tuple | None:
-        """The best-scoring stretch along a diagonal (+1 for an equal word, -MISMATCH for another), the longest of equals, if long enough."""
+        """The best-scoring stretch along a diagonal (+1 for an equal word, -MISMATCH for another), the longest of equals, of all that have enough equal words and no negative score."""
         item = self.words[k]
         s, e = max(0, shift), min(len(words), shift + len(item))
         same = words[s:e] == item[s - shift : e - shift]
-        total = np.concatenate(([0], np.cumsum(np.where(same, 1, -MISMATCH))))
-        gain = total - np.minimum.accumulate(total)
+        equal = np.concatenate(([0], np.cumsum(same)))
+        total = equal - MISMATCH * (np.arange(len(equal)) - equal)
+        # The last start from which each end has enough equal words; -1 where there is none.
+        last = np.searchsorted(equal, equal - min(MIN_MATCH, len(item)), "right") - 1
+        gain = np.where(last >= 0, total - np.minimum.accumulate(total)[last], -1)
         end = len(gain) - 1 - int(gain[::-1].argmax())
-        start = int(total[: end + 1].argmin())
-        matched = int(same[start:end].sum())
-        if matched < min(MIN_MATCH, len(item)):
+        if gain[end] < 0:
             return None
+        start = int(total[: last[end] + 1].argmin())
+        matched = int(equal[end] - equal[start])
         return s + start, s + end, s + start - shift, matched, matched / (end - start)
 
 

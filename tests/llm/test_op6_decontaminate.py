@@ -1,4 +1,5 @@
 import random
+from itertools import combinations
 
 import pytest
 
@@ -54,3 +55,43 @@ def test_empty_tables(spark):
     assert dc.contaminated(docs.limit(0), items).count() == 0
     assert dc.contaminated(docs, items.limit(0)).count() == 0
     assert [(h.doc_start, h.doc_end, h.matched) for h in dc.contaminated(docs, items).collect()] == [(0, 5, 5)]
+
+
+def by_rule(doc, item):
+    """Whether any stretch of any diagonal has enough equal words and four in five words equal, over all stretches."""
+    need = min(dc.MIN_MATCH, len(item))
+    for shift in range(-len(item), len(doc) + 1):
+        same = [doc[i] == item[i - shift] for i in range(max(0, shift), min(len(doc), shift + len(item)))]
+        if any(sum(same[i:j]) >= need and 5 * sum(same[i:j]) >= 4 * (j - i) for i in range(len(same)) for j in range(i + need, len(same) + 1)):
+            return True
+    return False
+
+
+def test_every_stretch_that_meets_the_rule():
+    r, tokens = random.Random(8), dc.Tokens()
+    item = words(r, 30)
+    index = dc.Benchmark([(1, " ".join(item))])
+
+    def found(equal):
+        doc = words(r, 5) + [w if e == "1" else f"x{i}" for i, (w, e) in enumerate(zip(item, equal))] + words(r, 5)
+        hits = index.overlaps(tokens.of(" ".join(doc)))
+        for _, start, end, at, matched, identity in hits:
+            assert matched == sum(a == b for a, b in zip(doc[start:end], item[at:])) >= dc.MIN_MATCH and identity >= 0.8
+        assert bool(hits) == by_rule(doc, item), equal
+        return bool(hits)
+
+    assert found("1" * 7 + "00" + "1" * 7)
+    assert found("1" * 11 + "000" + "1" * 11)
+    assert found("1" * 11 + "0" * 8 + "1" * 6 + "0" + "1" * 4) is False
+    assert found("1" * 9 + "0" * 7 + "111111" + "00" + "111111")  # behind a higher-scoring short one
+    for _ in range(300):
+        # Blocks of six or more, which the first mask hits.
+        found("".join("1" * r.randint(6, 9) + "0" * r.randint(1, 3) for _ in range(4))[: r.randint(14, 30)])
+
+
+def test_no_pattern_escapes_the_masks():
+    hit = lambda p, m: any(all(p[s + i] for i, bit in enumerate(m) if bit == "1") for s in range(len(p) - len(m) + 1))
+    for n in range(12, 16):
+        for changed in combinations(range(1, n - 1), n - 12):
+            p = [i not in changed for i in range(n)]
+            assert any(hit(p, m) for m in dc.MASKS), p
