@@ -16,13 +16,50 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A copy of df in the session's shared checkpoint folder, without its lineage; a folder is made only where none is set."""
+    """A copy of df in the session's shared checkpoint folder, without its lineage.
+
+    A folder is made only where none is set, and only in local mode: on a cluster executors would write to their own disks.
+    """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint"))
     return df.checkpoint()
 
 
+#: Keys that hot_join broadcasts at most. Of the others none has more than 1 / HOT of all rows.
+HOT = 1000
+
+
+def hot_join(rows: DataFrame, of: DataFrame, key: str, count: str) -> DataFrame:
+    """rows joined (inner) with of, one row a key, whose column count says how many rows of each key there are.
+
+    The HOT keys with the most rows are broadcast, so their rows stay where they are; all others are joined by a shuffle.
+    """
+    hot = F.broadcast(of.orderBy(F.desc(count), key).limit(HOT))
+    rest = rows.join(hot.select(key), key, "left_anti").join(of, key)
+    return rows.join(hot, key).unionByName(rest)
+
+
+#: Words of 64 bits in a sieve: at most 262,144 rows (4 MB of numbers) whatever the input.
+SIEVE = 1 << 18
+
+
+def sieve(values: DataFrame) -> DataFrame:
+    """(word, bits): a Bloom filter of fixed size of the only column of values; it fills up as values grow, but never loses one."""
+    hashed = values.select(F.xxhash64(values.columns[0]).alias("h"))
+    return hashed.selectExpr(f"pmod(h, {SIEVE}) AS word", "shiftleft(1L, CAST(pmod(shiftright(h, 24), 64) AS INT)) AS bit").groupBy("word").agg(F.bit_or("bit").alias("bits"))
+
+
+def sifted(rows: DataFrame, value: str, bits: DataFrame) -> DataFrame:
+    """rows with a boolean column maybe: false only where value is not among those of the sieve. Its size is bounded, so it is broadcast."""
+    h = F.xxhash64(value)
+    hashed = rows.withColumn("word", F.pmod(h, F.lit(SIEVE))).withColumn("bit", F.expr(f"shiftleft(1L, CAST(pmod(shiftright(xxhash64({value}), 24), 64) AS INT))"))
+    return hashed.join(F.broadcast(bits), "word", "left").withColumn("maybe", F.coalesce(F.expr("bits & bit <> 0"), F.lit(False))).drop("word", "bit", "bits")
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -32,16 +69,17 @@ def connected(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
     """(node, root): every node of the edges with the smallest node it can reach.
 
     Large-star and small-star rounds (Kiveris et al. 2014) until nothing changes. Each round relinks nodes by a
-    minimum (pre-aggregated before the shuffle) and a join, so no neighbourhood is ever gathered in one place.
+    minimum (pre-aggregated before the shuffle) and a join in which the greatest hubs are broadcast (see hot_join).
+    Rounds grow with the logarithm of the nodes; `rounds` only stops a loop that cannot end.
     """
     links = cut(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").selectExpr("greatest(u, v) AS u", "least(u, v) AS v").distinct())
     state = None
     for _ in range(rounds):
         both = links.unionAll(links.selectExpr("v AS u", "u AS v"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).selectExpr("u", "least(u, m) AS m")
-        large = both.join(least, "u").where("v > u").selectExpr("v AS u", "m AS v").distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").selectExpr("v AS u", "m AS v").where("u <> v").unionAll(down.selectExpr("u", "m AS v")).distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).selectExpr("u", "least(u, m) AS m", "n")
+        large = hot_join(both, least, "u", "n").where("v > u").selectExpr("v AS u", "m AS v").distinct()
+        down = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = hot_join(large, down, "u", "n").selectExpr("v AS u", "m AS v").where("u <> v").unionAll(down.selectExpr("u", "m AS v")).distinct()
         links = cut(small)
         new = links.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.sum(F.expr("cast(xxhash64(v, u) AS decimal(20, 0))"))).first()
         if new == state:

@@ -22,10 +22,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from factloom.llm.common import connected, cut
+from factloom.llm.common import connected, cut, hot_join, sieve, sifted
 
 RADIUS = 3
 BLOCK = 65536
@@ -44,8 +45,17 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
     ones = np.zeros(64, np.int64)
     for at in range(0, n, BLOCK):
         pairs = zip(starts[at : min(n, at + BLOCK)].tolist(), last[at : at + BLOCK].tolist(), strict=True)
-        hashes = np.array([digest(line[s:e], seed) for s, e in pairs], dtype="<u8")
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        ones += bit_counts(np.array([digest(line[s:e], seed) for s, e in pairs], dtype="<u8"))
+    return majority(ones, n)
+
+
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """In how many of the hashes each of the 64 bits is set."""
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def majority(ones: np.ndarray, n: int) -> int:
+    """The bits set in over half of n hashes, as a signed 64-bit integer."""
     return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
 
 
@@ -84,22 +94,21 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     component unless all of its ids are null. Repeated rows stay repeated; an empty table gives no rows.
     """
     fps = cut(fingerprints(docs, id_col, text_col, width, seed))
-    classes = fps.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
+    classes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n")))
     edges = cut(links(classes.select("fp")))
     roots = connected(edges, "fp", "centre")
     degree = edges.selectExpr("stack(2, fp, centre) AS fp").groupBy("fp").agg(F.count("*").alias("n_links"))
-    rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").selectExpr("fp", "least_id", "coalesce(root, fp) AS root")
-    named = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    of_fp = rooted.join(named, "root").join(degree, "fp", "left").selectExpr("fp", "component_id", "coalesce(n_links, 0L) AS n_links")
-    return fps.join(of_fp, "fp").select("doc_id", "fp", "component_id", "n_links")
+    rooted = cut(classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").selectExpr("fp", "n", "least_id", "coalesce(root, fp) AS root"))
+    named = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count("*").alias("size"))
+    of_fp = cut(hot_join(rooted, named, "root", "size").join(degree, "fp", "left").selectExpr("fp", "n", "component_id", "coalesce(n_links, 0L) AS n_links"))
+    return hot_join(fps, of_fp, "fp", "n").select("doc_id", "fp", "component_id", "n_links")
 
 
 # Near duplicates by the similarity of shingle sets. At a similarity of 0.8 the fingerprints of two texts differ in ten
 # bits or so, far beyond any ball that can be listed; fingerprints alone find one pair in fifty (see README). So the
 # candidates of the balls are joined by those of min-hash bands, and every candidate is verified on its shingles.
-BANDS, ROWS, NEIGHBOURS = 20, 6, 3
+BANDS, ROWS = 20, 6
 _FACTORS = np.random.default_rng(3).integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-SKETCH = "key long, fp long, bands array<long>, signature binary"
 
 
 def shingle_hashes(words: list[bytes], width: int, seed: int = 42) -> np.ndarray:
@@ -117,46 +126,72 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def sketch(text: str | None, width: int) -> tuple:
-    """(key, fp, bands, signature): the text's identity, SimHash, hashes of min-hash bands, 16 bits of each minimum."""
+    """(key, fp, bands): the text's identity, its SimHash and the hashes of its min-hash bands."""
     words = words_of(text)
-    hashes = np.unique(shingle_hashes(words, width)) if words else np.zeros(1, "<u8")
+    if not words:
+        hashes = np.zeros(1, "<u8")
+        fp = 0
+    else:
+        hashes = shingle_hashes(words, width)
+        fp = majority(sum(bit_counts(hashes[at : at + BLOCK]) for at in range(0, len(hashes), BLOCK)), len(hashes))
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
     for at in range(0, len(hashes), 1024):
         least = np.minimum(least, np.multiply.outer(_FACTORS, hashes[at : at + 1024]).min(axis=1))
     bands = [xxhash.xxh64_intdigest(b.tobytes(), i) for i, b in enumerate(least.reshape(BANDS, ROWS))]
-    return key_of(words), fingerprint(text, width), np.array(bands, dtype="<u8").view("<i8"), (least >> np.uint64(48)).astype("<u2").tobytes()
+    return key_of(words), fp, np.array(bands, dtype="<u8").view("<i8")
+
+
+def jaccard(a: bytes, b: bytes) -> float:
+    """Similarity of two sets given as sorted distinct 32-bit hashes."""
+    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / max(1, len(x) + len(y) - both)
+
+
+@F.pandas_udf(T.DoubleType())
+def _similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([jaccard(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-def text_key(text: Column) -> Column:
+@F.pandas_udf(T.LongType())
+def text_key(texts: pd.Series) -> pd.Series:
     """Identity of a text's lower-cased words (64 bits); all texts without words share one."""
+    return pd.Series([key_of(words_of(t)) for t in texts], dtype="int64")
 
-    @F.pandas_udf("long")
-    def keys(texts: pd.Series) -> pd.Series:
-        return pd.Series([key_of(words_of(t)) for t in texts], dtype="int64")
 
-    return keys(text)
+def sketches(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """(doc_id, key, fp, bands): a row for each row of docs."""
 
+    @F.pandas_udf("key long, fp long, bands array<long>")
+    def sketched(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in texts:
+            yield pd.DataFrame([sketch(t, width)[:3] for t in batch], columns=["key", "fp", "bands"])
 
-def agreement(a: bytes, b: bytes) -> float:
-    """Similarity estimated from two signatures."""
-    return float((np.frombuffer(a, "<u2") == np.frombuffer(b, "<u2")).mean())
+    return docs.select(F.col(id_col).alias("doc_id"), sketched(F.col(text_col)).alias("s")).select("doc_id", "s.*")
 
 
-def jaccard(a: bytes, b: bytes) -> float:
-    """Similarity of two sets given as sorted distinct 32-bit hashes."""
-    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return both / max(1, len(x) + len(y) - both)
+def shingle_sets(rows: DataFrame, keys: DataFrame, classes: DataFrame, width: int) -> DataFrame:
+    """(key, set) of the wanted keys: sorted 32-bit hashes of the shingles of one text each.
 
+    A sieve of the wanted documents' ids goes to where the texts are, so only their texts (and a few more) are shuffled.
+    """
 
-def _of_two(measure):
-    """A column function that applies measure to two binary columns."""
+    @F.pandas_udf("key long, set binary")
+    def cut_up(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in texts:
+            words = [words_of(t) for t in batch]
+            yield pd.DataFrame({"key": [key_of(w) for w in words], "set": [np.unique(shingle_hashes(w, width).astype("<u4")).tobytes() for w in words]})
+
+    wanted = cut(keys.join(classes.select("key", "doc_id"), "key"))
+    near = sifted(rows, "doc_id", sieve(wanted.select("doc_id"))).where("maybe")
+    listed = near.select("doc_id", cut_up("text").alias("c")).select("doc_id", "c.*").withColumnRenamed("doc_id", "id")
+    return cut(listed.join(wanted, (listed["key"] == wanted["key"]) & listed["id"].eqNullSafe(wanted["doc_id"]), "left_semi").select("key", "set").dropDuplicates(["key"]))
 
-    @F.pandas_udf("double")
-    def measured(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([measure(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
-    return measured
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of keys whose sets are similar enough."""
+    sided = pairs.join(sets.select(F.col("key").alias("a"), F.col("set").alias("xa")), "a").join(sets.select(F.col("key").alias("b"), F.col("set").alias("xb")), "b")
+    return sided.where(_similarity("xa", "xb") >= similarity).select(*pairs.columns)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, width: int = 5) -> DataFrame:
@@ -164,65 +199,62 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Texts of the same lower-cased words are one class from the start. Two classes are linked if their sets of width-word
     shingles have a Jaccard similarity of at least `similarity`; groups are what links connect. Candidates come from the
-    SimHash balls and from BANDS min-hash bands; within a band, classes are ordered by the hashes of the two next bands (so
-    that the most similar ones are adjacent) and each is compared with its NEIGHBOURS next ones. That is a first round, which
-    merges most classes: those of larger buckets that still hold several groups are then compared exactly across groups
-    (see across). Null and blank texts are one class. Null ids come after all others. An empty table gives no rows.
+    SimHash balls and from BANDS min-hash bands. In a band's bucket each class is compared with the bucket's smallest and
+    greatest key, which is every pair where there are three classes or fewer. Classes of larger buckets that still hold
+    several groups are then compared exactly across groups (see across), so every pair that meets in a bucket is settled.
+    Null and blank texts are one class. Null ids come after all others. An empty table gives no rows.
     """
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return _near_duplicates(rows, cut(sketches(rows, "doc_id", "text", width)), similarity, width)
 
-    @F.pandas_udf(SKETCH)
-    def sketched(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in texts:
-            yield pd.DataFrame([sketch(t, width) for t in batch], columns=["key", "fp", "bands", "signature"])
-
-    @F.pandas_udf("binary")
-    def shingles(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in texts:
-            yield pd.Series([np.unique(shingle_hashes(words_of(t), width).astype("<u4")).tobytes() for t in batch])
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    each = rows.select("doc_id", sketched("text").alias("s")).select("doc_id", "s.*")
-    classes = cut(each.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("signature").alias("signature")))
+def _near_duplicates(rows: DataFrame, each: DataFrame, similarity: float, width: int) -> DataFrame:
+    classes = cut(each.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
 
     by_fp = classes.groupBy("fp").agg(F.min("key").alias("first"))
     starred = links(by_fp.select("fp")).join(by_fp, "fp").select(F.col("first").alias("a"), "centre").join(by_fp.select(F.col("fp").alias("centre"), F.col("first").alias("b")), "centre").select("a", "b")
     same = classes.join(by_fp, "fp").selectExpr("key AS a", "first AS b")
-    # A band's number is in its hash already; the order is by the upper halves of the two next bands' hashes.
-    following = f"(bands[(band + 1) % {BANDS}] & -4294967296L) | shiftrightunsigned(bands[(band + 2) % {BANDS}], 32)"
-    bands = classes.selectExpr("key", "bands", "posexplode(bands) AS (band, value)").selectExpr("key", "value", f"{following} AS following")
-    order = Window.partitionBy("value").orderBy("following", "key").rowsBetween(1, NEIGHBOURS)
-    banded = bands.withColumn("near", F.collect_list("key").over(order)).where("size(near) > 0").selectExpr("key AS a", "explode(near) AS b")
-    pairs = starred.unionAll(same).unionAll(banded).where("a <> b").selectExpr("least(a, b) AS a", "greatest(a, b) AS b").distinct()
-
-    known = classes.select("key", "signature")
-    likely = pairs.join(known.select(F.col("key").alias("a"), F.col("signature").alias("sa")), "a").join(known.select(F.col("key").alias("b"), F.col("signature").alias("sb")), "b")
-    likely = cut(likely.where(_of_two(agreement)("sa", "sb") >= similarity - 0.15).select("a", "b"))
-
-    def sets_of(keys: DataFrame) -> DataFrame:
-        needed = keys.join(classes.select("key", "doc_id"), "key")
-        texts = rows.join(needed.withColumnRenamed("doc_id", "least_id"), F.col("doc_id").eqNullSafe(F.col("least_id"))).where(text_key(F.col("text")) == F.col("key"))
-        return cut(texts.select("key", shingles("text").alias("set")).dropDuplicates(["key"]))
-
-    def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        sided = pairs.join(sets.select(F.col("key").alias("a"), F.col("set").alias("xa")), "a").join(sets.select(F.col("key").alias("b"), F.col("set").alias("xb")), "b")
-        return sided.where(_of_two(jaccard)("xa", "xb") >= similarity).select("a", "b")
-
-    sets = sets_of(likely.selectExpr("stack(2, a, b) AS key").distinct())
-    roots = connected(cut(verified(likely, sets)), "a", "b")
-    grouped = cut(classes.select("key", "doc_id", "bands").join(roots.withColumnRenamed("node", "key"), "key", "left").selectExpr("coalesce(root, key) AS g", "key", "doc_id", "bands"))
-
-    # In buckets of up to NEIGHBOURS + 1 classes every pair has been compared. Larger ones that hold several groups are finished exactly.
-    spread = grouped.selectExpr("key", "g", "explode(bands) AS value")
-    unfinished = spread.groupBy("value").agg(F.count("*").alias("n"), F.min("g").alias("low"), F.max("g").alias("high")).where(f"n > {NEIGHBOURS + 1} AND low <> high")
-    open_ = cut(spread.join(unfinished.select("value"), "value", "left_semi").select("key", "g").distinct())
-    more = sets.unionAll(sets_of(open_.select("key").join(sets, "key", "left_anti")))
-    crossing = cut(across(open_.join(more, "key"), similarity))
-    merged = connected(cut(verified(crossing.select("a", "b"), more).join(crossing, ["a", "b"]).select("ga", "gb")), "ga", "gb")
-    grouped = grouped.join(merged.withColumnRenamed("node", "g"), "g", "left").selectExpr("coalesce(root, g) AS root", "key", "doc_id")
+    bands = classes.selectExpr("key", "explode(bands) AS value")  # a band's number is in its hash already
+    ends = bands.groupBy("value").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count("*").alias("n")).where("low <> high")
+    held = cut(bands.join(ends, "value"))
+    banded = held.selectExpr("key AS a", "explode(array(low, high)) AS b")
+    pairs = cut(starred.unionAll(same).unionAll(banded).where("a <> b").selectExpr("least(a, b) AS a", "greatest(a, b) AS b").distinct())
+
+    sets = shingle_sets(rows, pairs.selectExpr("explode(array(a, b)) AS key").distinct(), classes, width)
+    roots = connected(verified(pairs, sets, similarity), "a", "b").withColumnRenamed("node", "key")
+
+    # Larger buckets that hold several groups are finished exactly.
+    spread = cut(held.where("n > 3").select("key", "value").join(roots, "key", "left").selectExpr("key", "value", "coalesce(root, key) AS g"))
+    unfinished = spread.groupBy("value").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low <> high").select("value")
+    open_ = spread.join(unfinished, "value", "left_semi").select("key", "g").distinct()
+    crossing = cut(across(open_.join(sets, "key"), similarity))
+    merged = connected(verified(crossing, sets, similarity), "ga", "gb").withColumnRenamed("node", "g")
+
+    grouped = classes.select("key", "doc_id").join(roots, "key", "left").selectExpr("coalesce(root, key) AS g", "key", "doc_id")
+    grouped = grouped.join(merged, "g", "left").selectExpr("coalesce(root, g) AS root", "key", "doc_id")
     first = F.min_by(F.struct("key", "doc_id"), F.struct(F.col("doc_id").isNull(), "doc_id", "key"))
     return grouped.groupBy("root").agg(first.alias("k")).select("k.key", "k.doc_id")
 
 
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, width: int = 5) -> DataFrame:
+    """The rows of docs that near_duplicates lets stay, each once, with the columns of docs.
+
+    Ids of rows that go (or stand repeated) are put into a sieve. Rows whose id is not in it stay without being moved;
+    only the rest, about as much as goes, is shuffled by the text's key and the id.
+    """
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    each = cut(sketches(rows, "doc_id", "text", width))
+    kept = cut(_near_duplicates(rows, each, similarity, width).withColumnRenamed("doc_id", "kept"))
+    counted = each.groupBy("key", "doc_id").agg(F.count("*").alias("n"))
+    stays = (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("kept"))
+    doubtful = counted.join(kept.withColumnRenamed("key", "k"), stays, "left").where("k IS NULL OR n > 1").select("doc_id")
+    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("doc_id"))
+    marked = sifted(packed, "doc_id", cut(sieve(doubtful)))
+    keyed = marked.where("maybe").select("row", "doc_id", text_key(F.col(f"row.{text_col}")).alias("key"))
+    once = keyed.join(kept.withColumnRenamed("key", "k"), stays, "left_semi").dropDuplicates(["key", "doc_id"])
+    return marked.where("NOT maybe").select("row.*").unionByName(once.select("row.*"))
+
+
 def across(sets: DataFrame, similarity: float) -> DataFrame:
     """(a, b, ga, gb), a < b: every pair of (key, g, set) of different groups g whose sets may be similar enough.
 
@@ -245,10 +277,12 @@ def across(sets: DataFrame, similarity: float) -> DataFrame:
     prefix = cut(placed.where(f"at < n - ceil({t} * n - 1e-9) + 1").withColumn("short", F.expr(f"at < n - ceil({2 * t / (1 + t)} * n - 1e-9) + 1")))
     held = prefix.groupBy("shingle", "g").agg(F.count("*").alias("c")).groupBy("shingle").agg(F.max_by("g", F.struct("c", "g")).alias("lead"), (F.sum("c") - F.max("c")).alias("others"))
     keyed = prefix.join(held.where("others > 0").selectExpr("shingle", "lead", "1 + others div 500 AS salts"), "shingle")
-    few = keyed.where("g <> lead").selectExpr("shingle", "pmod(xxhash64(key), salts) AS salt", "key AS ka", "g AS fa", "n AS na", "at AS pa", "short AS ia")
-    every = keyed.selectExpr("shingle", "explode(sequence(0L, salts - 1)) AS salt", "key AS kb", "g AS fb", "n AS nb", "at AS pb", "short AS ib")
-    met = few.join(every, ["shingle", "salt"]).where("fa <> fb AND IF((na, ka) < (nb, kb), ia, ib)")
-    met = met.where(f"least(na, nb) >= {t} * greatest(na, nb) - 1e-9 AND least(na - pa, nb - pb) >= {t / (1 + t)} * (na + nb) - 1e-9")
+    few = keyed.where("g <> lead").selectExpr("shingle", "pmod(xxhash64(key), salts) AS salt", "key AS ka", "g AS fa", "n AS na", "at AS pa", "short")
+    every = keyed.selectExpr("shingle", "explode(sequence(0L, salts - 1)) AS salt", "g = lead AND short AS first", "key AS kb", "g AS fb", "n AS nb", "at AS pb")
+    # Of the two sets the smaller one's shingle has to be in its short prefix.
+    smaller = few.where("short").join(every, ["shingle", "salt"]).where("fa <> fb AND (na, ka) < (nb, kb)")
+    larger = few.join(every.where("first"), ["shingle", "salt"]).where("fa <> fb AND (na, ka) > (nb, kb)")
+    met = smaller.unionByName(larger).where(f"least(na, nb) >= {t} * greatest(na, nb) - 1e-9 AND least(na - pa, nb - pb) >= {t / (1 + t)} * (na + nb) - 1e-9")
     return met.selectExpr("least(ka, kb) AS a", "greatest(ka, kb) AS b", "IF(ka < kb, fa, fb) AS ga", "IF(ka < kb, fb, fa) AS gb").distinct()
 
 
