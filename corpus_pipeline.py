@@ -6,7 +6,7 @@ stage's documents. All stages but the last return the columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm import decontaminate, hash_ring, language_id, mixing, simhash
@@ -25,12 +25,11 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near duplicates."""
-    kept = simhash.near_duplicates(docs).select(F.col("key").alias("__key"), F.col("doc_id").alias("__kept"))
-    keyed = docs.withColumn("__key", simhash.text_key(F.col("text")))
-    same = (keyed["__key"] == kept["__key"]) & keyed["doc_id"].eqNullSafe(kept["__kept"])
-    once = Window.partitionBy("__key", "doc_id").orderBy(F.lit(0))
-    return keyed.join(kept, same, "left_semi").withColumn("__n", F.row_number().over(once)).where("__n = 1").select(*docs.columns)
+    """One document, that of the smallest id, of each group of near duplicates (five-word shingles, similarity 0.8).
+
+    Null and blank texts are one group; null ids come after all others; a repeated row stays once.
+    """
+    return simhash.without_near_duplicates(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
