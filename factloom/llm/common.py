@@ -29,6 +29,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows of an Arrow batch. Whole texts are long: Spark's default of 10,000 rows is a great part of an executor's memory.
+BATCH = 1000
+
+
+def small_batches(df: DataFrame) -> None:
+    """Arrow batches of BATCH rows in df's session, unless the session sets a size of its own."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(key) == "10000":
+        conf.set(key, BATCH)
+
+
 #: Keys that hot_join broadcasts at most. Of the others none has more than 1 / HOT of all rows.
 HOT = 1000
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factloom.llm.common import connected, cut, hot_join, sieve, sifted
+from factloom.llm.common import connected, cut, hot_join, sieve, sifted, small_batches
 
 RADIUS = 3
 BLOCK = 65536
@@ -67,6 +67,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in texts:
             yield pd.Series([fingerprint(t, width, seed) for t in batch], dtype="int64")
 
+    small_batches(docs)
     return docs.select(F.col(id_col).alias("doc_id"), of(F.col(text_col)).alias("fp"))
 
 
@@ -167,6 +168,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFra
         for batch in texts:
             yield pd.DataFrame([sketch(t, width)[:3] for t in batch], columns=["key", "fp", "bands"])
 
+    small_batches(docs)
     return docs.select(F.col(id_col).alias("doc_id"), sketched(F.col(text_col)).alias("s")).select("doc_id", "s.*")
 
 
