@@ -39,6 +39,37 @@ def test_blocks_moved_and_short():
     assert ld.common_blocks(first, later, [5] * 8) == []
 
 
+def test_every_shared_window_goes():
+    """Moved, repeated and reordered passages against all common blocks of two documents."""
+    first, later = ld.lines_of("w " * 60 + "\na b\nc d"), ld.lines_of("a b\nc d\n" + "w " * 60)
+    assert ld.common_blocks(first[1], later[1], later[2]) == [2]  # the short lines are aligned first
+    twice = ld.lines_of("\n".join(["w " * 40, "x", "w " * 40]))
+    assert ld.common_blocks(twice[1], twice[1][::-1], twice[2][::-1]) == [0, 1, 2]
+    r = random.Random(4)
+    for _ in range(300):
+        lines = [" ".join("v" * r.randint(1, 12)) + str(k) for k in range(8)] + [""]
+        a, b = (ld.lines_of("\n".join(r.choice(lines) for _ in range(r.randint(0, 14)))) for _ in "ab")
+        gone = set(ld.common_blocks(a[1], b[1], b[2]))
+        common = set()
+        for i in range(len(a[1])):
+            for j in range(len(b[1])):
+                k = 0
+                while i + k < len(a[1]) and j + k < len(b[1]) and a[1][i + k] == b[1][j + k]:
+                    k += 1
+                if sum(b[2][j : j + k]) >= ld.MIN_WORDS:
+                    common |= set(range(j, j + k))
+        held = {h for _, _, h in ld.windows_of(a[1], a[2])}
+        shared = {x for j, end, h in ld.windows_of(b[1], b[2]) if h in held for x in range(j, end)}
+        assert shared <= gone <= common
+
+
+def test_many_lines_are_aligned_in_time():
+    same = ld.lines_of("w " * 40 + "\n" + "ab cd\n" * 20_000)
+    turned = [ld.lines_of("\n".join(order)) for order in (["u " * 31 + str(k) for k in range(3000)], ["u " * 31 + str(k) for k in range(2999, -1, -1)])]
+    assert ld.common_blocks(same[1], same[1][::-1], same[2][::-1]) == list(range(1, len(same[1])))  # all but the empty line, which now stands first
+    assert len(ld.common_blocks(turned[0][1], turned[1][1], turned[1][2])) == 3000
+
+
 def passage(r, n):
     return "\n".join(" ".join(r.choice("abcdefgh") * r.randint(1, 5) for _ in range(r.randint(1, 25))) for _ in range(n))
 
