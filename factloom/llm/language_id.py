@@ -2,14 +2,18 @@
 
 For each language a suffix automaton of labelled text recognises every substring of that text. A document is parsed
 greedily into the longest phrases that the automaton recognises; the language that needs the fewest phrases for the
-same characters wins. Letters are compared in lower case; a run of other characters counts as one space.
+same characters wins. Letters are compared in lower case; a run of other characters counts as one space. The most
+frequent letters of the sample are symbols of their own; every other letter of it is spelled with four symbols out of
+sixteen, so no letter loses its identity however many scripts there are. Letters that no sample has are one symbol.
 
 Automata are dense transition tables (a missing transition restarts at the root and counts a phrase), so a batch of
 texts is parsed by NumPy gathers over many lanes at once. A lane is SEGMENT characters of one text; phrases end there,
 alike for all languages. Whole texts are parsed.
 
-Learning is bounded: at most DOCS documents of each language, CHARS characters in all (both parameters), chosen by
-hash. The model's size follows from CHARS and the number of languages, not from the input. No shuffle of texts.
+Learning is bounded: at most DOCS documents of each language, CHARS characters of each language (WINDOWS windows spread
+over each whole text) and TOTAL characters of all languages (all parameters); documents are chosen by hash, and of more
+than LANGS languages the most frequent ones are learnt. So the model has at most 2 * TOTAL states (150 MB) whatever the
+input. No shuffle of texts.
 """
 
 from __future__ import annotations
@@ -22,9 +26,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DOCS, CHARS, LETTERS, SEGMENT, CHUNK = 100, 30_000, 46, 512, 2_000_000
-SPACE, OTHER = 0, 1
+from factloom.llm.common import small_batches
+
+DOCS, CHARS, TOTAL, LANGS, WINDOWS = 100, 30_000, 300_000, 500, 4
+LETTERS, DIGITS, SEGMENT, CHUNK = 46, 16, 512, 2_000_000
+SPACE, OTHER, SPELLED = 0, 1, 256
 UNKNOWN = "und"
+#: Texts of fewer symbols are not judged by their rate. A text is foreign beyond FOREIGN times the usual rate.
+LEAST, FOREIGN = 400, 2.0
 
 
 def automaton(codes: list[int]) -> list[dict[int, int]]:
@@ -57,11 +66,18 @@ def automaton(codes: list[int]) -> list[dict[int, int]]:
 
 
 def encode(text: str, table: np.ndarray) -> np.ndarray:
-    """Classes of the text's characters, with runs of non-letters as one SPACE."""
+    """Symbols of the text's characters, with runs of non-letters as one SPACE and rare letters spelled out."""
     codes = table[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")]
     keep = codes != SPACE
     keep[1:] |= codes[:-1] != SPACE
-    return codes[keep]
+    codes = codes[keep]
+    if len(codes) and codes.max() >= SPELLED:
+        long = codes >= SPELLED
+        codes = np.repeat(codes, np.where(long, 4, 1))
+        spelled = codes >= SPELLED
+        digits = codes[spelled].reshape(-1, 4) - SPELLED
+        codes[spelled] = (2 + LETTERS + (digits >> np.array([12, 8, 4, 0], np.uint32)) % DIGITS).ravel()
+    return codes.astype(np.uint8)
 
 
 class Model:
@@ -71,8 +87,9 @@ class Model:
         self.langs = sorted(samples)
         texts = {lang: " ".join(samples[lang]).lower()[:chars] for lang in self.langs}
         known = Counter(c for t in texts.values() for c in t if c.isalpha())
-        self.letters = [c for c, _ in sorted(known.items(), key=lambda x: (-x[1], x[0]))[:letters]]
-        self.width = letters + 2
+        ranked = [c for c, _ in sorted(known.items(), key=lambda x: (-x[1], x[0]))]
+        self.letters, self.rare = ranked[:letters], ranked[letters : letters + DIGITS**4]
+        self.width = letters + DIGITS + 2
         table, parts, self.roots, base = self.table(), [], [], 0
         for lang in self.langs:
             step = automaton(encode(texts[lang], table).tolist())
@@ -88,12 +105,15 @@ class Model:
             self.roots.append(base)
             base += dense.size
         self.next = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+        self.usual = 0.0
 
     def table(self) -> np.ndarray:
-        """Class of each code point. Letters beyond the most frequent ones share the class OTHER."""
-        table = np.fromiter(map(str.isalpha, map(chr, range(0x110000))), dtype=np.uint8, count=0x110000) * np.uint8(OTHER)
+        """Of each code point the symbol, or SPELLED and more for letters that are spelled out."""
+        table = np.fromiter(map(str.isalpha, map(chr, range(0x110000))), dtype=np.uint32, count=0x110000) * np.uint32(OTHER)
         for i, c in enumerate(self.letters):
             table[ord(c)] = 2 + i
+        for i, c in enumerate(self.rare):
+            table[ord(c)] = SPELLED + i
         return table
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
@@ -118,8 +138,9 @@ class Model:
             state[:, :m] = to ^ new
         return np.stack([np.bincount(owner, weights=c, minlength=len(texts)) for c in count], axis=1)
 
-    def predict(self, texts: list[str | None], table: np.ndarray) -> tuple[list[str], list[float]]:
-        names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+    def predict(self, texts: list[str | None], table: np.ndarray) -> tuple[list[str], list[float], list[float]]:
+        """Of each text the language, the score and the phrases a symbol that it needs."""
+        names, scores, rates = [UNKNOWN] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
         group, size = [], 0
         for i, text in enumerate(texts):
             codes = encode(text, table) if text else np.zeros(0, np.uint8)
@@ -127,34 +148,49 @@ class Model:
                 group.append((i, codes))
                 size += len(codes)
             if group and (size >= CHUNK or i == len(texts) - 1):
-                self._decide(group, names, scores)
+                self._decide(group, names, scores, rates)
                 group, size = [], 0
         if group:
-            self._decide(group, names, scores)
-        return names, scores
+            self._decide(group, names, scores, rates)
+        return names, scores, rates
 
-    def _decide(self, group, names, scores) -> None:
+    def _decide(self, group, names, scores, rates) -> None:
         counts = self.phrases([c for _, c in group])
         best = counts.argmin(axis=1)
         two = np.sort(counts, axis=1)[:, :2]
-        for row, (i, _) in enumerate(group):
+        for row, (i, codes) in enumerate(group):
             names[i] = self.langs[best[row]]
+            rates[i] = float(two[row, 0] / len(codes)) if len(codes) >= LEAST else 0.0
             scores[i] = 1.0 if len(self.langs) == 1 else float(1 - two[row, 0] / two[row, 1])
 
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = DOCS, chars: int = CHARS) -> Model:
-    """The model of a bounded sample: of each language the per_lang smallest hashes among documents not held out."""
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = DOCS, chars: int = CHARS, total: int = TOTAL, langs: int = LANGS) -> Model:
+    """The model of a bounded sample: of each language the per_lang smallest hashes among documents not held out.
+
+    As many documents more of each language, taken together, tell the usual number of phrases a symbol: model.usual is
+    that of the language which needs most of them, 0 where there are too few documents.
+    """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     labelled = rows.where(f"lang IS NOT NULL AND {HELD_OUT} = 0")
+    often = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(langs).select("lang")
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = labelled.select("doc_id", "lang").withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_lang).select("doc_id").distinct().collect()
-    share = max(1, chars // per_lang)
-    found = labelled.where(F.col("doc_id").isin([r.doc_id for r in ids])).groupBy("lang", "doc_id").agg(F.min(F.substring("text", 1, 2 * share)).alias("part"))
+    ids = labelled.join(F.broadcast(often), "lang").select("doc_id", "lang").withColumn("n", F.row_number().over(first)).where(F.col("n") <= 2 * per_lang).collect()
+    known = Counter(r.lang for r in ids if r.n <= per_lang)
+    own = min(chars, total // max(1, len(known)))
+    # A window of a text that has several; the windows of a text are as many characters as its share.
+    w = max(1, own // max([min(per_lang, *known.values()) if known else 1, 1]) // WINDOWS - 1)
+    spread = F.expr(f"IF(char_length(text) <= {WINDOWS * w}, text, array_join(transform(sequence(0, {WINDOWS - 1}), i -> substring(text, CAST(1 + i * (char_length(text) - {w}) / {WINDOWS - 1} AS INT), {w})), ' '))")
+    found = labelled.where(F.col("doc_id").isin([r.doc_id for r in ids])).groupBy("lang", "doc_id").agg(F.min(spread).alias("part")).collect()
+    parts = {(r.lang, r.doc_id): r.part for r in found if r.part}
     samples: dict[str, list[str]] = {}
-    for r in sorted(found.collect(), key=lambda r: (r.lang, r.doc_id)):
-        if r.part:
-            samples.setdefault(r.lang, []).append(r.part)
-    return Model(samples, chars=chars)
+    rest: dict[str, list[str]] = {}
+    for r in sorted(ids, key=lambda r: (r.lang, r.n)):
+        if part := parts.pop((r.lang, r.doc_id), None):
+            (samples if r.n <= per_lang else rest).setdefault(r.lang, []).append(part)
+    model = Model(samples, chars=own)
+    if samples and rest:
+        model.usual = max(model.predict([" ".join(x) for x in rest.values()], model.table())[2])
+    return model
 
 
 #: 1 for documents that are held out from learning; a null id is never learnt from.
@@ -162,20 +198,35 @@ HELD_OUT = "CAST(coalesce(crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) % 3 = 1,
 
 
 def predicted(docs: DataFrame, model: Model, text_col: str = "text", into: str = "lang_found") -> DataFrame:
-    """docs with a struct column (lang_pred, score)."""
+    """docs with a struct column (lang_pred, score, rate): rate is the phrases a symbol, 0 for texts of under LEAST symbols."""
+    small_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double, rate double")
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m = shared.value
         table = m.table()
         for batch in texts:
-            names, scores = m.predict(list(batch), table)
-            yield pd.DataFrame({"lang_pred": names, "score": scores})
+            names, scores, rates = m.predict(list(batch), table)
+            yield pd.DataFrame({"lang_pred": names, "score": scores, "rate": rates})
 
     return docs.withColumn(into, of(F.col(text_col)))
 
 
+def in_known_language(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of docs whose text is in a language that was learnt from docs.
+
+    Rejected are texts without a letter and texts of at least LEAST symbols that need more than FOREIGN times the usual
+    phrases in every language (noise, unknown languages). Where nothing is labelled, only texts without a letter go.
+    """
+    model = learn(docs, text_col=text_col)
+    if not model.langs:
+        return docs.where(F.col(text_col).rlike(r"\p{L}"))
+    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text"))
+    found = predicted(packed, model, into="found").where(F.col("found.lang_pred") != UNKNOWN)
+    return (found.where(F.col("found.rate") <= FOREIGN * model.usual) if model.usual else found).select("row.*")
+
+
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(doc_id, held_out, lang_pred, score): a row for each row of docs.
 

@@ -80,3 +80,29 @@ def test_automaton_recognises_substrings_only():
             state = step[state].get(c) if state is not None else None
         assert (state is not None) == (word in subs)
     assert np.issubdtype(li.Model({"x": ["abc"]}).next.dtype, np.int32)
+
+
+def test_no_letter_loses_its_identity(spark):
+    """Two scripts of hundreds of letters, of which most are rare, are told apart."""
+    r = random.Random(6)
+    scripts = {"x": [chr(0x4E00 + i) for i in range(700)], "y": [chr(0xAC00 + i) for i in range(700)], "z": [chr(0x4E00 + 700 + i) for i in range(700)]}
+    words = {lang: ["".join(r.choice(letters) for _ in range(3)) for _ in range(400)] for lang, letters in scripts.items()}
+    rows = [(i, " ".join(r.choice(words[lang]) for _ in range(40)), lang, "s", "c") for i in range(240) for lang in [r.choice("xyz")]]
+    got = {x.doc_id: x for x in li.identify(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert np.mean([got[d].lang_pred == lang for d, _, lang, _, _ in rows if got[d].held_out]) > 0.95
+
+
+def test_foreign_texts_are_rejected(spark):
+    r = random.Random(7)
+    noise = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(3000)) for _ in range(5)]
+    rows = texts(600, 3) + [(2000 + i, t, "en", "s", "c") for i, t in enumerate(noise)] + [(3000, "the and of " * 1000, None, "s", "c"), (3001, None, "en", "s", "c"), (3002, "", None, "s", "c")]
+    got = li.in_known_language(spark.createDataFrame(rows, SCHEMA))
+    assert got.columns == ["doc_id", "text", "lang", "source", "score"]
+    assert sorted(x.doc_id for x in got.collect()) == [*range(600), 3000]
+
+
+def test_windows_are_spread_over_whole_texts(spark):
+    """What stands at the end of long texts is learnt too."""
+    rows = [(i, ("the and of to " * 3000) + "quip" * 3000, "en", "s", "c") for i in range(1, 30)]
+    model = li.learn(spark.createDataFrame(rows, SCHEMA))
+    assert "q" in model.letters
