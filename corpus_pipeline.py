@@ -16,12 +16,11 @@ SHARDS = 40
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that can be told; texts without any letter are rejected."""
-    model = language_id.learn(docs)
-    if not model.langs:  # nothing is labelled, so nothing can be told apart
-        return docs.where(r"text RLIKE '\\p{L}'")
-    found = language_id.predicted(docs, model, into="__lang_found")
-    return found.where(F.col("__lang_found.lang_pred") != language_id.UNKNOWN).select(*docs.columns)
+    """Documents in a language that was learnt; texts without a letter, null and empty ones are rejected, and foreign ones.
+
+    Every row is judged by its text alone, so repeated rows stay or go alike.
+    """
+    return language_id.in_known_language(docs)
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
