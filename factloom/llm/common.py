@@ -80,17 +80,17 @@ def connected(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
     """(node, root): every node of the edges with the smallest node it can reach.
 
     Large-star and small-star rounds (Kiveris et al. 2014) until nothing changes. Each round relinks nodes by a
-    minimum (pre-aggregated before the shuffle) and a join in which the greatest hubs are broadcast (see hot_join).
+    minimum (pre-aggregated before the shuffle) and a join with one row a node, which AQE splits where a hub is large.
     Rounds grow with the logarithm of the nodes; `rounds` only stops a loop that cannot end.
     """
     links = cut(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").selectExpr("greatest(u, v) AS u", "least(u, v) AS v").distinct())
     state = None
     for _ in range(rounds):
         both = links.unionAll(links.selectExpr("v AS u", "u AS v"))
-        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).selectExpr("u", "least(u, m) AS m", "n")
-        large = hot_join(both, least, "u", "n").where("v > u").selectExpr("v AS u", "m AS v").distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = hot_join(large, down, "u", "n").selectExpr("v AS u", "m AS v").where("u <> v").unionAll(down.selectExpr("u", "m AS v")).distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m")).selectExpr("u", "least(u, m) AS m")
+        large = both.join(least, "u").where("v > u").selectExpr("v AS u", "m AS v").distinct()
+        down = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(down, "u").selectExpr("v AS u", "m AS v").where("u <> v").unionAll(down.selectExpr("u", "m AS v")).distinct()
         links = cut(small)
         new = links.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.sum(F.expr("cast(xxhash64(v, u) AS decimal(20, 0))"))).first()
         if new == state:
