@@ -6,6 +6,7 @@ columns that the caller asks for travel.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -69,10 +70,16 @@ def corroboration(units: DataFrame, keys: Sequence[str], source: str, sentiment:
 
 
 def contradictions(claims: DataFrame, keys: Sequence[str], assertion: Sequence[str]) -> DataFrame:
-    """claims with contradiction_group_id where the same key is asserted in more than one way, else null."""
-    ways = claims.groupBy(*keys).agg(F.countDistinct(F.to_json(F.struct(*assertion))).alias("__ways"))
+    """claims with contradiction_group_id where the same key is asserted in more than one way, else null.
+
+    Ways differ if the least and the greatest of them do, so groups shrink before the shuffle. Null keys are keys.
+    """
+    way = F.struct(*assertion)
+    ways = claims.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.min(way).alias("__least"), F.max(way).alias("__most"))
+    same = functools.reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
     name = F.concat(F.lit("contradiction_"), F.substring(F.sha2(F.concat_ws("|", *[F.col(k).cast("string") for k in keys]), 256), 1, 24))
-    return claims.join(ways, list(keys)).withColumn("contradiction_group_id", F.when(F.col("__ways") > 1, name)).drop("__ways")
+    named = claims.join(ways, same).withColumn("contradiction_group_id", F.when(~F.col("__least").eqNullSafe(F.col("__most")), name))
+    return named.drop("__least", "__most", *[f"__{k}" for k in keys])
 
 
 def newest_against_older(units: DataFrame, key: str, at: str, uid: str, kind: str, sentiment: str, positive: Sequence[str], negative: Sequence[str], supersede: Sequence[str], conditional: Sequence[str], condition: str) -> DataFrame:

@@ -36,12 +36,12 @@ def g2_auto_resolution(spark, sf_dir):
     return conflict.auto_resolve(claims(spark, sf_dir), ["l_partkey", "w"], "claim_id", "value", "confidence", "verified")
 
 
-UNITS_SQL = """SELECT user_id % 20 AS subject, event_type AS predicate, user_id AS source, CASE WHEN value > 60 THEN 'BULLISH' WHEN value < 40 THEN 'BEARISH' ELSE 'NEUTRAL' END AS sentiment, event_id % 4 <> 0 AS supported FROM events WHERE event_id % 5 <> 0"""
+UNITS_SQL = """SELECT user_id % 20 AS subject, event_type AS predicate, user_id AS source, CASE WHEN value > 60 THEN 'BULLISH' WHEN value < 40 THEN 'BEARISH' ELSE 'NEUTRAL' END AS sentiment, event_id % 4 <> 0 AS supported FROM events"""
 
 
 def units(spark, sf_dir):
     side = "CASE WHEN value > 60 THEN 'BULLISH' WHEN value < 40 THEN 'BEARISH' ELSE 'NEUTRAL' END AS sentiment"
-    return table(spark, sf_dir, "events").where("event_id % 5 <> 0").selectExpr("user_id % 20 AS subject", "event_type AS predicate", "user_id AS source", side, "event_id % 4 <> 0 AS supported")
+    return table(spark, sf_dir, "events").selectExpr("user_id % 20 AS subject", "event_type AS predicate", "user_id AS source", side, "event_id % 4 <> 0 AS supported")
 
 
 @query(

@@ -58,11 +58,12 @@ def q9_late_known_events(spark, sf_dir):
 @query(
     "j8_latest_terminal_verification",
     f"""SELECT user_id, max_by(event_id, struct_pack(a := recorded, b := event_id)) AS verification_id FROM ({LEDGER_SQL})
-    WHERE event_type IN ('purchase', 'error') AND recorded <= TIMESTAMP '{KNOWN}' AND event_id % 3 <> 0 GROUP BY user_id""",
+    WHERE event_type IN ('purchase', 'error') AND recorded <= TIMESTAMP '{KNOWN}' AND CASE WHEN value < 30 THEN 'v1' ELSE 'v2' END = 'v2' GROUP BY user_id""",
 )
 def j8_latest_terminal_verification(spark, sf_dir):
-    """Latest terminal result available at an instant, under the wanted policy version (two of three events)."""
-    done = ledger(spark, sf_dir).where(F.col("event_type").isin("purchase", "error") & (F.col("recorded") <= instant(KNOWN)) & F.expr("event_id % 3 <> 0"))
+    """Latest terminal result available at an instant, under the wanted version of the policy that decided it."""
+    done = ledger(spark, sf_dir).where(F.col("event_type").isin("purchase", "error") & (F.col("recorded") <= instant(KNOWN)))
+    done = done.withColumn("policy_version", F.when(F.col("value") < 30, "v1").otherwise("v2")).where("policy_version = 'v2'")
     return asof.latest(done, ["user_id"], ["recorded", "event_id"], ["event_id"]).withColumnRenamed("event_id", "verification_id")
 
 

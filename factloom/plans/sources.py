@@ -85,7 +85,7 @@ def s18_index_rebuild(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count_if(F.col("n_chars") >= 500).alias("indexed"), F.count_if(F.col("n_chars") < 500).alias("skipped"))
 
 
-@query("s21_array_backfill", "SELECT doc_id, CAST(generate_subscripts AS BIGINT) AS ordinal, sha256(word) AS ref FROM (SELECT doc_id, unnest(list_slice(string_split(text, ' '), 1, 3)) AS word, generate_subscripts(list_slice(string_split(text, ' '), 1, 3), 1) AS generate_subscripts FROM documents)")
+@query("s21_array_backfill", "SELECT doc_id, CAST(generate_subscripts AS BIGINT) AS ordinal, sha256(word) AS ref FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS word, generate_subscripts(string_split(text, ' '), 1) AS generate_subscripts FROM documents)")
 def s21_array_backfill(spark, sf_dir):
     """Array elements as rows of their own, with their place."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.slice(F.split("text", " "), 1, 3)).alias("p", "word")).select("doc_id", (F.col("p") + 1).cast("long").alias("ordinal"), F.sha2("word", 256).alias("ref"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("p", "word")).select("doc_id", (F.col("p") + 1).cast("long").alias("ordinal"), F.sha2("word", 256).alias("ref"))
