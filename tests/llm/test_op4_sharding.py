@@ -61,3 +61,19 @@ def test_query(spark, tmp_path):
     spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: (r["size"], r.text_crc32, r.law, r.grown_shard) for r in hash_ring.op4_sharding(spark, str(tmp_path)).collect()}
     assert got == {1: (18, zlib.crc32("é".encode()), "rows", None), 2: (16, None, "rows", None), 3: (16, 0, "rows", None)}
+
+
+def test_hot_id_is_split(spark):
+    """A null id that most rows have: its rows are in many windows, all slots are still gapless and reruns agree."""
+    df = spark.createDataFrame([(i if i % 3 == 0 else None, f"t{i}", "x", "y") for i in range(900)], SCHEMA)
+    a, b = ([(r.doc_id, r.text, r.shard, r.slot) for r in hash_ring.assign(df, shards=6).collect()] for _ in range(2))
+    assert sorted(map(str, a)) == sorted(map(str, b)) and len(a) == 900
+    for s in range(6):
+        assert sorted(slot for _, _, shard, slot in a if shard == s) == list(range(150))
+    assert df.where("doc_id IS NULL").selectExpr(f"pmod(xxhash64(text, 'x', 'y'), {hash_ring.SALTS})").distinct().count() > 50
+
+
+def test_clashing_and_map_columns(spark):
+    df = spark.sql("SELECT id AS doc_id, map('a', id) AS m, 'z' AS shard, array(id) AS __keep FROM range(40)")
+    got = hash_ring.assign(df, shards=4).collect()
+    assert Counter(r.shard for r in got) == {0: 10, 1: 10, 2: 10, 3: 10} and all(r.m == {"a": r.doc_id} for r in got)
