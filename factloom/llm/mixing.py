@@ -64,6 +64,22 @@ def permuted(k: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def restored(b: int, n: int, key: int) -> int:
+    """The k that the permutation named by key puts at b: its rounds backwards, walking the same cycle."""
+    half = max(1, math.ceil(math.log2(max(n, 2)) / 2))
+    half += 1 << 2 * half < n
+    out = b
+    while True:
+        left, right = out >> half, out & ((1 << half) - 1)
+        for i in reversed(range(4)):
+            with np.errstate(over="ignore"):
+                turned = int(_round(np.array([left], np.uint64), np.array([key], np.uint64) + np.uint64(i))[0])
+            left, right = right ^ (turned & ((1 << half) - 1)), left
+        out = left << half | right
+        if out < n:
+            return out
+
+
 def keys(source: np.ndarray, epoch: np.ndarray, seed: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         return _round(np.asarray(source, np.uint64) * np.uint64(64) + np.asarray(epoch, np.uint64), np.uint64(seed))
@@ -78,8 +94,7 @@ def slots_of(source: int, size: int, target: float, block: int, seed: int) -> in
     rest, last = target - passes * size, size - (n - 1) * block
     if rest <= 0:
         return passes * n
-    inverse = permuted(np.arange(n), np.full(n, n), keys(np.full(n, source), np.full(n, passes), seed)) if n <= 1 << 20 else None
-    short = n if inverse is None else int(np.nonzero(inverse == n - 1)[0][0])  # in a long stream one short block is nothing
+    short = restored(n - 1, n, int(keys(np.array([source]), np.array([passes]), seed)[0]))  # the slot of the last block
     near = range(max(0, int(rest // block) - 1), min(n, int(rest // block) + 3) + 1)
     return passes * n + min(near, key=lambda k: (abs(k * block - (block - last) * (short < k) - rest), k))
 
@@ -133,7 +148,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     times = spark.range(sum(slots)).mapInPandas(blocks_of, "s int, b long").groupBy("s", "b").agg(F.count("*").alias("times"))
 
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    prefix = F.broadcast(sums.withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0))).select(F.col("source").alias("__source"), F.col("bucket").alias("__bucket"), "before"))
+    prefix = sums.withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0))).select(F.col("source").alias("__source"), F.col("bucket").alias("__bucket"), "before")
     inside = Window.partitionBy("source", "bucket").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     laid = sized.withColumns({"upto": F.sum("size").over(inside), "n": F.row_number().over(inside)})
     laid = laid.join(prefix, F.col("source").eqNullSafe(F.col("__source")) & (F.col("bucket") == F.col("__bucket"))).drop("__source", "__bucket")

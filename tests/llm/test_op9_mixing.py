@@ -23,6 +23,14 @@ def test_permutations(n):
     assert n < 17 or list(a) != list(b)
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 17, 64, 65, 1000, 3 << 20])
+def test_permutations_backwards(n):
+    key = int(mixing.keys(np.array([3]), np.array([2]), 7)[0])
+    for k in {0, n // 3, n // 2, n - 1}:
+        b = int(mixing.permuted(np.array([k]), np.array([n]), np.array([key], np.uint64))[0])
+        assert mixing.restored(b, n, key) == k
+
+
 def test_draws_use_up_all_slots():
     slots = [1000, 3, 0, 250]
     got = mixing.draw(slots, 16, 5)
