@@ -30,7 +30,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 #: Rows of an Arrow batch. Whole texts are long: Spark's default of 10,000 rows is a great part of an executor's memory.
-BATCH = 1000
+BATCH = 250
 
 
 def small_batches(df: DataFrame) -> None:

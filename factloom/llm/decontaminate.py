@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import cut, sieve, sifted
+from factloom.llm.common import cut, sieve, sifted, small_batches
 
 #: Fixed masks: six of at most eleven words are compared.
 MASKS = ("111111", "1101100101", "1110010011", "11001010011", "10110001101")
@@ -39,7 +39,7 @@ class Tokens(dict):
     """64-bit hashes of words, kept for reuse up to a bound."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 200_000:
+        if len(self) > 50_000:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "replace"), 1)
         return value
@@ -111,6 +111,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     both sides may have any type that can be grouped. Empty tables give no rows.
     """
     spark = docs.sparkSession
+    small_batches(docs)
     hashed, seeds_of = F.pandas_udf(hashed_words, "array<long>"), F.pandas_udf(item_seeds, "h array<long>, at array<int>")
     best_of = F.pandas_udf(compared, "doc_start int, doc_end int, item_start int, matched int, identity double")
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text")).where("text IS NOT NULL").distinct()
