@@ -19,6 +19,8 @@ def cut(df: DataFrame) -> DataFrame:
     """A copy of df in the session's shared checkpoint folder, without its lineage.
 
     A folder is made only where none is set, and only in local mode: on a cluster executors would write to their own disks.
+    Shuffle files are removed when the driver's JVM collects the plans that wrote them, so it is asked to before more are
+    written; else the files of all rounds of a loop stay on the executors' disks.
     """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
@@ -26,6 +28,7 @@ def cut(df: DataFrame) -> DataFrame:
         if folder is None and not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint"))
+    context._jvm.System.gc()
     return df.checkpoint()
 
 
