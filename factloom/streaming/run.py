@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from factloom.sources import shared
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the session's shared checkpoint folder; a local one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="streams")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """A new folder below the session's shared checkpoint folder; a local one only in local mode, where none is set."""
+    return shared.folder(spark, "stream")
 
 
 def available_now(stream: DataFrame, mode: str) -> DataFrame:
