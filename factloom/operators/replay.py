@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.operators.clocks import asof_each
+from factloom.operators.packing import reached
 from factloom.sources.shared import written
 
 CLOCK_MISSING, HISTORY_INVALID, HISTORY_INCOMPLETE = "REPLAY_HISTORICAL_CLOCK_MISSING", "REPLAY_HISTORICAL_LINEAGE_INVALID", "REPLAY_HISTORICAL_LINEAGE_INCOMPLETE"
@@ -131,13 +132,5 @@ def _reached(events: DataFrame, ends: DataFrame) -> DataFrame:
     links = events.select("k", "p", F.col("__order").alias("to")).join(after, ["k", "p"]).where("from IS NULL OR from < to")
     nexts = links.groupBy("from", "k", "p").agg(F.min("to").alias("to"))
     base = nexts.where("from IS NULL").select(F.col("to").alias("__order")).unionByName(begins)
-    marked = written(base.distinct())
-    jumps = written(nexts.where("from IS NOT NULL").select("from", "to"))
-    while True:
-        more = marked.join(jumps, F.col("__order") == F.col("from")).select(F.col("to").alias("__order")).distinct()
-        more = written(more.join(marked, "__order", "left_anti"))
-        if not more.head(1):
-            break
-        marked = written(marked.unionByName(more))
-        jumps = written(jumps.join(jumps.select(F.col("from").alias("to"), F.col("to").alias("__next")), "to").select("from", F.col("__next").alias("to")))
-    return events.join(marked, "__order", "left_semi")
+    jumps = nexts.where("from IS NOT NULL").select(F.col("from").alias("node"), "to")
+    return events.join(reached(base.select(F.col("__order").alias("node")), jumps), F.col("__order") == F.col("node"), "left_semi")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factloom.plans import aggregates, asof, catalog, decisions, identity, intervals, knowledge, ordered, replay, retrieval, semantics, sets, signals, tasks, texts, verification  # noqa: F401
+from factloom.plans import aggregates, asof, catalog, decisions, identity, intervals, knowledge, ordered, packing, replay, retrieval, semantics, sets, signals, tasks, texts, verification  # noqa: F401
 from factloom.plans import sources as _sources  # noqa: F401
 
 QUERIES = catalog.QUERIES
