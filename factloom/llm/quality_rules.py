@@ -209,24 +209,25 @@ def verdict(rules: list[Rule]) -> Column:
     return case
 
 
-def labelled_statistics(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Statistics of the labelled documents that pass the base rules, with their class and fold.
+def labelled(stats: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of stats (see statistics) that pass the base rules and have a label, with their class and fold.
 
     A document with several labels counts once for each; labels without a quality or a document, and null ids, count not.
+    Only numbers are shuffled: texts stay where they are measured.
     """
     of = labels.where("quality IS NOT NULL").select(F.col("doc_id").alias("__id"), (F.col("quality") == 0).alias("bad"))
-    known = docs.select("doc_id", "text").join(of, F.col("doc_id") == F.col("__id")).select("doc_id", "text", "bad")
     grows = F.pmod(F.xxhash64("doc_id"), F.lit(3)) < 2
-    return written(statistics(known).where("NOT base_failed").select("bad", grows.alias("grows"), *FEATURES))
+    known = stats.where("NOT base_failed").select("doc_id", *FEATURES).join(of, F.col("doc_id") == F.col("__id"))
+    return written(known.select("bad", grows.alias("grows"), *FEATURES))
 
 
-def rated(docs: DataFrame, rules: list[Rule]) -> DataFrame:
-    """docs with their statistics and kept: false where a base rule fails, else the list's verdict. Every row is judged by its text alone."""
-    return statistics(docs).withColumn("kept", ~F.col("base_failed") & verdict(rules))
+def rated(stats: DataFrame, rules: list[Rule]) -> DataFrame:
+    """stats with kept: false where a base rule fails, else the list's verdict. Every row is judged by its text alone."""
+    return stats.withColumn("kept", ~F.col("base_failed") & verdict(rules))
 
 
 def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document by the list that its labels teach."""
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    rules = learn(labelled_statistics(docs, labels))
-    return rated(docs.select("doc_id", "text"), rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    stats = written(statistics(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
+    rules = learn(labelled(stats, table(spark, sf_dir, "labels")))
+    return rated(stats, rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")

@@ -31,7 +31,7 @@ def odd_texts():
 
 def test_statistics_against_brute_force(spark):
     rows = [(i, t, "n", "b", "k") for i, t in enumerate(odd_texts())]
-    got = rules.rated(spark.createDataFrame(rows, SCHEMA), [])
+    got = rules.rated(rules.statistics(spark.createDataFrame(rows, SCHEMA)), [])
     for r in got.collect():
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == brute(rows[r.doc_id][1])
         assert r.kept is (not r.base_failed) and r.bad == "b"
@@ -56,11 +56,11 @@ def test_learns_an_ordered_list(spark):
     """Two kinds of bad texts give two rules, which tell held-out texts of both kinds from clean ones."""
     docs, kind = corpus(spark, ["clean", "symbols", "clean", "shout", "clean"])
     labels = spark.createDataFrame([(i, int(k == "clean"), 0) for i, k in kind.items()] + [(None, 1, 0), (3, None, 0), (10**9, 0, 0)], "doc_id long, quality int, toxic int")
-    found = rules.learn(rules.labelled_statistics(docs, labels))
+    found = rules.learn(rules.labelled(rules.statistics(docs), labels))
     assert len(found) == 2 and {c.feature for r in found for c in r.conditions} <= {"symbols_per_word", "marks_per_word", "capitals_per_word", "distinct_share", "chars_per_word"}
     assert sum(r.bad for r in found) == 96 and sum(r.good for r in found) == 0 and all(" >= " in str(r) or " < " in str(r) for r in found)
     unseen, kind = corpus(spark, ["shout", "clean", "symbols", "clean"], 80, 2)
-    for r in rules.rated(unseen, found).collect():
+    for r in rules.rated(rules.statistics(unseen), found).collect():
         assert r.kept is (kind[r.doc_id] == "clean")
 
 
@@ -76,7 +76,7 @@ def test_rules_are_one_conditional_expression(spark):
 @pytest.mark.parametrize("labels", [[], [(i, 1, 0) for i in range(240)], [(i, 0, 0) for i in range(240)], [(i, i * 7 % 2, 0) for i in range(240)]])
 def test_labels_that_teach_nothing(spark, labels):
     docs, _ = corpus(spark, ["clean"])
-    assert rules.learn(rules.labelled_statistics(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))) == []
+    assert rules.learn(rules.labelled(rules.statistics(docs), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))) == []
 
 
 def test_a_rule_needs_two_conditions(spark):
@@ -98,5 +98,5 @@ def test_no_python_in_the_plan(spark, tmp_path):
     docs.select("doc_id", "text").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     got = rules.op13_quality_rules(spark, str(tmp_path))
-    plan = got._jdf.queryExecution().toString()
+    plan = got._jdf.queryExecution().toString() + rules.statistics(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Exchange" not in plan and len(got.collect()) == 5
