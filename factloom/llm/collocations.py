@@ -94,7 +94,7 @@ def frequent_pairs(spark: SparkSession, found: DataFrame, words: DataFrame, min_
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
 
     counted = found.mapInArrow(pair_counts, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    return _sieve(counted.where(F.col("n") >= min_count).select("h"))
+    return _sieve(written(counted.where(F.col("n") >= min_count).select("h")))
 
 
 def pointers(spark: SparkSession, found: DataFrame, pairs: np.ndarray, max_words: int) -> DataFrame:
