@@ -14,15 +14,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.llm.common import table, written
 
-#: Code points that end a piece become line feeds, tabs blanks, and A-Z small letters, in one pass without a pattern.
-PIECE_END, BLANK = ".,;:!?\x0b\x0c\r", "\t"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: What ends a piece becomes a line feed, a tab a blank, and A-Z small letters: single bytes of UTF-8, so bytes are translated.
+_CUT = bytes.maketrans(b".,;:!?\x0b\x0c\rABCDEFGHIJKLMNOPQRSTUVWXYZ\t", b"\n" * 9 + b"abcdefghijklmnopqrstuvwxyz ")
 
 MIN_COUNT, MAX_WORDS, TOP = 100, 5, 2000
 #: Of a phrase's occurrences, the hundredths that must lie in one longer candidate for the phrase to be dropped.
@@ -35,28 +35,54 @@ BITS_A_HASH, MOST_BITS = 16, 1 << 28
 PARTS = 64
 
 
-def pieces(docs: DataFrame) -> DataFrame:
-    """(lang, words): the pieces of all texts with their words in lower case (A-Z only); a null lang is `und`, null texts have none."""
-    found = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.explode(F.split(F.translate("text", UPPER + PIECE_END + BLANK, LOWER + "\n" * len(PIECE_END) + " "), "\n")).alias("piece"))
-    return found.select("lang", F.array_remove(F.split("piece", " "), "").alias("words")).where("size(words) > 0")
+def lines(docs: DataFrame) -> DataFrame:
+    """(lang, line): the lines of all texts, which no piece crosses; a null lang is `und`, null texts have none.
+
+    Tasks get lines, not texts, in their Arrow batches, so that a batch is small however long the texts are.
+    """
+    return docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.explode(F.split("text", "\n")).alias("line"))
+
+
+def _words(batch: pa.RecordBatch) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """All words of a batch of lines in lower case (A-Z only), with the number of the piece and of the line that each is in."""
+    text = pa.concat_arrays([batch.column("line")])
+    _, offsets, data = text.buffers()
+    text = pa.Array.from_buffers(text.type, len(text), [None, offsets, pa.py_buffer((data.to_pybytes() if data else b"").translate(_CUT))])
+    pieces = pc.split_pattern(text, "\n")
+    words = pc.split_pattern(pc.list_flatten(pieces), " ")
+    found, piece = pc.list_flatten(words), pc.list_parent_indices(words).to_numpy()
+    held = pc.not_equal(found, "").to_numpy(zero_copy_only=False)
+    return found.filter(pa.array(held)), piece[held], pc.list_parent_indices(pieces).to_numpy()[piece[held]]
+
+
+def word_counts(found: DataFrame) -> DataFrame:
+    """(lang, phrase, f): how often each language's lines hold each word."""
+
+    def count(batches):
+        for b in batches:
+            words, _, line = _words(b)
+            if len(words):
+                coded, langs = words.dictionary_encode(), b.column("lang").dictionary_encode()
+                key, n = np.unique(langs.indices.to_numpy()[line].astype(np.int64) * len(coded.dictionary) + coded.indices.to_numpy(), return_counts=True)
+                yield pa.RecordBatch.from_arrays([langs.dictionary.take(pa.array(key // len(coded.dictionary))), coded.dictionary.take(pa.array(key % len(coded.dictionary))), pa.array(n.astype(np.int64))], ["lang", "phrase", "f"])
+
+    return found.mapInArrow(count, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 
 
 def _hashes(words: pa.Array) -> np.ndarray:
     """64-bit hashes of the words of an array, each distinct word hashed once."""
-    coded = words.dictionary_encode() if not pa.types.is_dictionary(words.type) else words
+    coded = words.dictionary_encode()
     known = np.fromiter((xxhash.xxh64_intdigest(w) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
     return known[coded.indices.to_numpy()] if len(coded) else known
 
 
-def _pairs(batch: pa.RecordBatch) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a batch of pieces: all words, hashes of (lang, word) for each word and of (lang, word, next word), and whether a next word is there."""
-    lists = batch.column("words")
-    words, sizes = lists.flatten(), np.diff(lists.offsets.to_numpy())
-    alone = _hashes(words) * np.uint64(3) + np.repeat(_hashes(batch.column("lang")), sizes)
-    follows = np.ones(len(words), bool)
-    follows[np.cumsum(sizes) - 1] = False
+def _pairs(batch: pa.RecordBatch) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a batch of lines: all words and their lines, hashes of (lang, word) for each word and of (lang, word, next word), and whether the next word is in its piece."""
+    words, piece, line = _words(batch)
+    alone = _hashes(words) * np.uint64(3) + _hashes(batch.column("lang"))[line]
     both = (alone ^ (alone >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + np.roll(alone, -1)
-    return words, alone, both ^ (both >> np.uint64(32)), follows
+    follows = np.append(piece[1:] == piece[:-1], False) if len(piece) else np.zeros(0, bool)
+    return words, line, alone, both ^ (both >> np.uint64(32)), follows
 
 
 def _passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -86,7 +112,7 @@ def frequent_pairs(spark: SparkSession, found: DataFrame, words: DataFrame, min_
 
     def pair_counts(batches):
         for b in batches:
-            _, alone, both, follows = _pairs(b)
+            _, _, alone, both, follows = _pairs(b)
             if not len(alone):
                 continue
             often = _passes(known.value, alone)
@@ -103,13 +129,12 @@ def pointers(spark: SparkSession, found: DataFrame, pairs: np.ndarray, max_words
 
     def project(batches):
         for b in batches:
-            words, alone, both, follows = _pairs(b)
+            words, line, alone, both, follows = _pairs(b)
             if not len(alone):
                 continue
             holds = follows & _passes(known.value, both)
             at = np.flatnonzero(holds)
-            owner = np.repeat(np.arange(len(b)), np.diff(b.column("words").offsets.to_numpy()))
-            columns, goes_on = [b.column("lang").take(pa.array(owner[at])), words.take(pa.array(at))], np.ones(len(at), bool)
+            columns, goes_on = [b.column("lang").take(pa.array(line[at])), words.take(pa.array(at))], np.ones(len(at), bool)
             for ahead in range(1, max_words):
                 last = np.minimum(at + ahead - 1, len(words) - 1)
                 goes_on = goes_on & holds[last]
@@ -195,10 +220,9 @@ def collocations(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = M
     bits don't hold are decimals of 38 digits.
     """
     spark = docs.sparkSession
-    found = pieces(docs.select("lang", "text"))
-    counted = found.select("lang", F.explode("words").alias("phrase")).groupBy("lang", "phrase").agg(F.count("*").alias("f"))
+    found = lines(docs.select("lang", "text"))
     rare = F.when(F.col("f") >= min_count, F.col("phrase")).alias("phrase")
-    counted = written(counted.groupBy("lang", rare).agg(F.sum("f").alias("f")))
+    counted = written(word_counts(found).groupBy("lang", rare).agg(F.sum("f").alias("f")))
     words, totals = counted.where("phrase IS NOT NULL"), counted.groupBy("lang").agg(F.sum("f").alias("n"))
     mined = written(phrases(spark, found, words, min_count, max_words))
     return best(scored(independent(mined, inside), words.unionByName(mined.select("lang", "phrase", "f")), totals), top)
