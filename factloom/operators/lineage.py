@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.sources.shared import written
+
 
 def canonical_json(**fields: Column) -> Column:
     """Compact JSON with sorted keys and nulls kept. Strings, integers and booleans only: doubles have no canonical text here."""
@@ -45,21 +47,21 @@ def chain_faults(events: DataFrame, key: str, event_hash: str, previous_hash: st
     return heads.join(forks, key, "left").join(dangling, key, "left").select(key, F.coalesce("forks", F.lit(0)).alias("forks"), F.coalesce("broken", F.lit(0)).alias("broken"), "heads")
 
 
-def ancestors(edges: DataFrame, child: str, parent: str, rounds: int = 32) -> DataFrame:
+def ancestors(edges: DataFrame, child: str, parent: str) -> DataFrame:
     """(node, ancestor): the transitive closure of child to parent edges by path doubling; it ends on cycles too.
 
-    Each round joins the closure with itself, so a chain of length n takes log2(n) rounds.
+    Each round joins the closure with itself, so a chain of length n takes log2(n) rounds; the closure of a long chain is large. For
+    the ancestry of a few nodes see replay.ancestry.
     """
-    closure = edges.select(F.col(child).alias("node"), F.col(parent).alias("ancestor")).distinct()
+    closure = written(edges.select(F.col(child).alias("node"), F.col(parent).alias("ancestor")).distinct())
     known = closure.count()
-    for _ in range(rounds):
+    while True:
         further = closure.join(closure.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("__next")), "ancestor").select("node", F.col("__next").alias("ancestor"))
-        closure = closure.unionByName(further).distinct().checkpoint()
+        closure = written(closure.unionByName(further).distinct())
         size = closure.count()
         if size == known:
             return closure
         known = size
-    raise RuntimeError("ancestors did not settle")
 
 
 def missing_parents(edges: DataFrame, nodes: DataFrame, child: str, parent: str, node: str) -> DataFrame:

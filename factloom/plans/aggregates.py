@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from factloom.operators import conflict, quality
-from factloom.plans.catalog import query, rows, table
+from factloom.plans.catalog import dealt, query, table
 
 CLAIMS_SQL = """SELECT l_partkey, l_orderkey * 10 + l_linenumber AS claim_id, CAST(l_quantity AS BIGINT) AS value, round(1 - l_discount, 2) AS confidence, l_suppkey % 7 = 0 AS verified,
     'window-' || (((CAST(l_shipdate AS DATE) - DATE '0001-01-01') + 1) // 30) AS w FROM lineitem"""
@@ -105,10 +105,13 @@ ITEMS = "(1, 10, 'a', 'x,y'), (1, 11, 'a', 'x'), (1, 12, 'a', 'x'), (1, 13, 'b',
     "g27_minimal_items",
     f"""WITH i AS (SELECT o, min(id) AS id, k, list_sort(list_distinct(string_split(r, ','))) AS refs FROM (VALUES {ITEMS}) AS t(o, id, k, r) GROUP BY o, k, list_sort(list_distinct(string_split(r, ','))))
     SELECT o, id, k, array_to_string(refs, ',') AS refs FROM i WHERE NOT EXISTS (SELECT 1 FROM i s WHERE s.o = i.o AND s.k = i.k AND len(s.refs) < len(i.refs) AND list_has_all(i.refs, s.refs))""",
+    over=ITEMS,
+    key="o",
+    n=2,
 )
 def g27_minimal_items(spark, sf_dir):
     """Ambiguities that no narrower one of the same kind covers."""
-    items = rows(spark, ITEMS, "o, id, k, r").withColumn("refs", F.split("r", ","))
+    items = dealt(spark, sf_dir, ITEMS, "o, id, k, r", 2).withColumn("refs", F.split("r", ","))
     return conflict.minimal_items(items, "o", "id", "k", "refs").withColumn("refs", F.array_join("refs", ","))
 
 

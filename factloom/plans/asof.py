@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from factloom.operators import asof
-from factloom.plans.catalog import query, rows, table
+from factloom.plans.catalog import dealt, query, table
 
 BUSINESS, KNOWN = "2024-01-20 00:00:00", "2024-01-20 06:00:00"
 LEDGER_SQL = "SELECT *, ts + to_minutes(CAST(props::JSON->>'k' AS BIGINT)) AS recorded FROM events"
@@ -132,9 +132,10 @@ CLAIM_COLUMNS = "event_id, event_type, business_from, business_to, known_from, k
     f"""SELECT event_id, coalesce(known_from <= TIMESTAMP '2024-01-10' AND (known_to IS NULL OR TIMESTAMP '2024-01-10' < known_to) AND available_from <= TIMESTAMP '2024-01-10'
       AND (business_from IS NULL OR business_from <= TIMESTAMP '2024-01-10') AND (business_to IS NULL OR TIMESTAMP '2024-01-10' < business_to), false) AS visible
     FROM (VALUES {CLAIM_EVENTS}) AS t({CLAIM_COLUMNS})""",
+    over=CLAIM_EVENTS, key="event_id",
 )
 def q9_three_clock_visibility(spark, sf_dir):
     """Visibility of claim state events at the same instant on all three clocks; ends are exclusive."""
     at = F.lit("2024-01-10 00:00:00").cast("timestamp")
     see = asof.visible("business_from", "known_from", "available_from", at, at, at, "business_to", "known_to")
-    return rows(spark, CLAIM_EVENTS, CLAIM_COLUMNS).select("event_id", see.alias("visible"))
+    return dealt(spark, sf_dir, CLAIM_EVENTS, CLAIM_COLUMNS).select("event_id", see.alias("visible"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import text as tx
 from factloom.operators import decisions as de
-from factloom.plans.catalog import query, rows, table
+from factloom.plans.catalog import dealt, query, rows, table
 
 TYPES = ("PRICE", "VALUATION", "FORECAST", "OPINION", "INDUSTRY_RELATION", "RETURN", "CORPORATE_EVENT")
 TYPE_SQL = "(['PRICE','VALUATION','FORECAST','OPINION','INDUSTRY_RELATION','RETURN','CORPORATE_EVENT'])[CAST(event_id % 7 AS INT) + 1]"
@@ -105,10 +105,11 @@ EVIDENCE = "(1, true, true, 0.9), (2, true, true, CAST(NULL AS DOUBLE)), (3, tru
 @query(
     "m9_evidence_quality",
     f"SELECT id, CASE WHEN NOT e OR NOT r THEN 'LOW' WHEN c IS NULL THEN 'UNKNOWN' WHEN c < 0.45 THEN 'LOW' WHEN c < 0.7 THEN 'MEDIUM' ELSE 'HIGH' END AS quality, CASE WHEN c >= 0.95 THEN 'HIGH' WHEN c >= 0.85 THEN 'MEDIUM' ELSE 'LOW' END AS ocr_level FROM (VALUES {EVIDENCE}) AS t(id, e, r, c)",
+    over=EVIDENCE,
 )
 def m9_evidence_quality(spark, sf_dir):
     """Quality of evidence; a confidence of 0 is a measure, none is not."""
-    return rows(spark, EVIDENCE, "id, e, r, c").select("id", de.evidence_quality(F.col("e"), F.col("r"), F.col("c")).alias("quality"), de.ocr_level(F.col("c")).alias("ocr_level"))
+    return dealt(spark, sf_dir, EVIDENCE, "id, e, r, c").select("id", de.evidence_quality(F.col("e"), F.col("r"), F.col("c")).alias("quality"), de.ocr_level(F.col("c")).alias("ocr_level"))
 
 
 STATUSES = "(1, 'UNSUPPORTED'), (2, 'SOURCE_LOCATED'), (3, 'NEEDS_REVIEW'), (4, 'SOURCE_SUPPORTED'), (5, 'CROSS_MODAL_SUPPORTED'), (6, 'VALIDATED'), (7, 'other'), (8, CAST(NULL AS VARCHAR(9)))"
@@ -117,10 +118,11 @@ STATUSES = "(1, 'UNSUPPORTED'), (2, 'SOURCE_LOCATED'), (3, 'NEEDS_REVIEW'), (4,
 @query(
     "f9_support_threshold",
     f"SELECT id, CASE s WHEN 'SOURCE_LOCATED' THEN 1 WHEN 'NEEDS_REVIEW' THEN 2 WHEN 'SOURCE_SUPPORTED' THEN 3 WHEN 'CROSS_MODAL_SUPPORTED' THEN 4 WHEN 'VALIDATED' THEN 5 ELSE 0 END AS support_rank FROM (VALUES {STATUSES}) AS t(id, s)",
+    over=STATUSES,
 )
 def f9_support_threshold(spark, sf_dir):
     """Ranks of support; unknown ones are lowest."""
-    return rows(spark, STATUSES, "id, s").select("id", de.support_rank(F.col("s")).alias("support_rank"))
+    return dealt(spark, sf_dir, STATUSES, "id, s").select("id", de.support_rank(F.col("s")).alias("support_rank"))
 
 
 @query(
@@ -155,11 +157,12 @@ REQUESTS = "(1, 'bilibili', 'ingest', 29), (2, 'bilibili', 'ingest', 30), (3, 'x
 @query(
     "f17_source_policy",
     f"SELECT id, s IS NOT NULL AND list_contains(string_split(u, ','), use) AND (lim IS NULL OR rate < lim) AS allowed FROM (VALUES {REQUESTS}) AS r(id, source, use, rate) LEFT JOIN (VALUES {POLICIES}) AS p(s, u, lim) ON s = source",
+    over=REQUESTS,
 )
 def f17_source_policy(spark, sf_dir):
     """Requests that source policies allow; unknown sources are denied."""
     policies = rows(spark, POLICIES, "source_type, u, rate_limit").withColumn("allowed_uses", F.split("u", ","))
-    return de.allowed_sources(rows(spark, REQUESTS, "id, source, use, rate"), policies, "source", "use", "rate").select("id", "allowed")
+    return de.allowed_sources(dealt(spark, sf_dir, REQUESTS, "id, source, use, rate"), policies, "source", "use", "rate").select("id", "allowed")
 
 
 NUMERICS = "(1, 100.0, 100.0, 105.0, 105.0, 'CNY', 'CNY', true), (2, 100.0, 100.0, 105.0, 105.0, 'CNY', 'CNY', false), (3, 10.0, 20.0, 20.0, 30.0, '%', '%', false), (4, 1.0, 1.0, 1.0, 1.0, '%', 'x', false), (5, 1.0, 2.0, 3.0, 4.0, 'x', 'x', false)"
@@ -168,11 +171,12 @@ NUMERICS = "(1, 100.0, 100.0, 105.0, 105.0, 'CNY', 'CNY', true), (2, 100.0, 100.
 @query(
     "m3_numeric_match",
     f"SELECT id, ua = ub AND a - abs(a) * CASE WHEN ap THEN 0.1 ELSE 0 END <= d AND c <= b + abs(b) * CASE WHEN ap THEN 0.1 ELSE 0 END AS agrees FROM (VALUES {NUMERICS}) AS t(id, a, b, c, d, ua, ub, ap)",
+    over=NUMERICS,
 )
 def m3_numeric_match(spark, sf_dir):
     """Numeric claims that agree with their source."""
     a, b, c, d, ua, ub, ap = map(F.col, ("a", "b", "c", "d", "ua", "ub", "ap"))
-    return rows(spark, NUMERICS, "id, a, b, c, d, ua, ub, ap").select("id", de.numeric_match(a, b, c, d, ua, ub, ap).alias("agrees"))
+    return dealt(spark, sf_dir, NUMERICS, "id, a, b, c, d, ua, ub, ap").select("id", de.numeric_match(a, b, c, d, ua, ub, ap).alias("agrees"))
 
 
 @query("d3_month_shift", "SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) + INTERVAL 1 MONTH AS DATE) AS next_month, last_day(CAST(o_orderdate AS DATE)) AS month_end, CAST(date_trunc('week', o_orderdate) AS DATE) AS week_start, CAST(date_trunc('quarter', o_orderdate) AS DATE) AS quarter_start FROM orders")
@@ -191,13 +195,14 @@ LABELS = "(1, '2024-03-15'), (2, '2024-02'), (3, '2023'), (4, '2024 Q3'), (5, '2
     CASE WHEN regexp_matches(s, '^\\d{{4}}-\\d{{2}}-\\d{{2}}$') THEN CAST(s AS DATE) WHEN regexp_matches(s, '^\\d{{4}}-\\d{{2}}$') THEN last_day(make_date(y, CAST(substr(s, 6, 2) AS INT), 1)) WHEN regexp_matches(s, 'Q[1-4]$') THEN last_day(make_date(y, q * 3, 1))
       WHEN regexp_matches(s, 'H[12]$') THEN last_day(make_date(y, q * 6, 1)) WHEN regexp_matches(s, '^\\d{{4}}年\\d{{1,2}}月$') THEN last_day(make_date(y, m, 1)) WHEN regexp_matches(s, '^\\d{{4}}$') THEN make_date(y, 12, 31) END AS end_date
     FROM (SELECT *, TRY_CAST(substr(s, 1, 4) AS INT) AS y, TRY_CAST(right(s, 1) AS INT) AS q, TRY_CAST(regexp_extract(s, '年(\\d+)月', 1) AS INT) AS m FROM (VALUES {LABELS}) AS t(id, s))""",
+    over=LABELS,
 )
 def d9_period_labels(spark, sf_dir):
     """First and last day of period labels; what names no period has neither."""
     from factloom.functions import temporal
 
     start, end = temporal.period(F.col("s"))
-    return rows(spark, LABELS, "id, s").select("id", start.alias("start_date"), end.alias("end_date"))
+    return dealt(spark, sf_dir, LABELS, "id, s").select("id", start.alias("start_date"), end.alias("end_date"))
 
 
 @query(
@@ -219,10 +224,11 @@ CHECKS = "(1, '营收增长', '公司营收增长30%'), (2, '股价下跌', '股
     f"""SELECT id, CASE WHEN contains(c, '增长') OR contains(c, '上涨') THEN contains(s, '增长') OR contains(s, '上涨') WHEN contains(c, '下跌') THEN contains(s, '下跌') ELSE true END AS direction_match,
     CASE WHEN contains(c, '今年') AND contains(s, '去年') THEN false ELSE true END AS time_match,
     round(len(list_filter(list_distinct([substr(c, i, 2) FOR i IN range(1, length(c))]), lambda p: contains(s, p))) / len(list_distinct([substr(c, i, 2) FOR i IN range(1, length(c))])), 6) AS overlap FROM (VALUES {CHECKS}) AS t(id, c, s)""",
+    over=CHECKS,
 )
 def m6_direction_and_overlap(spark, sf_dir):
     """Direction, time words and overlap of a claim with its source."""
     c, s = F.col("c"), F.col("s")
     sign = lambda x: tx.contains_any(x, ("增长", "上涨")).cast("int") - tx.contains_any(x, ("下跌",)).cast("int")
     clash = F.contains(c, F.lit("今年")) & F.contains(s, F.lit("去年"))
-    return rows(spark, CHECKS, "id, c, s").select("id", ((sign(c) == 0) | (sign(c) == sign(s))).alias("direction_match"), (~clash).alias("time_match"), F.round(tx.bigram_overlap(c, s), 6).alias("overlap"))
+    return dealt(spark, sf_dir, CHECKS, "id, c, s").select("id", ((sign(c) == 0) | (sign(c) == sign(s))).alias("direction_match"), (~clash).alias("time_match"), F.round(tx.bigram_overlap(c, s), 6).alias("overlap"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from factloom.operators import lineage
-from factloom.plans.catalog import query, rows, table
+from factloom.plans.catalog import query, table
+from factloom.plans.replay import SNAPSHOTS_SQL
 
 
 @query(
@@ -55,23 +56,28 @@ def a5_hash_verification(spark, sf_dir):
     return table(spark, sf_dir, "documents").agg(F.count("*").alias("n"), F.count_if(F.sha2("text", 256) == F.sha2(F.trim("text"), 256)).alias("n_valid"))
 
 
-EDGES = "('d', 'c'), ('c', 'b'), ('b', 'a'), ('e', 'c'), ('f', 'lost'), ('x', 'y'), ('y', 'x')"
+_EDGES_SQL = f"""s AS MATERIALIZED ({SNAPSHOTS_SQL.replace("struct(o_orderdate, o_orderkey)", "struct_pack(a := o_orderdate, b := o_orderkey)")}),
+    e AS MATERIALIZED (SELECT id AS c, parent AS p FROM s WHERE parent IS NOT NULL UNION SELECT id, supersedes FROM s WHERE supersedes IS NOT NULL)"""
 
 
-@query(
-    "a4_lineage_ancestors",
-    f"WITH RECURSIVE e AS (SELECT * FROM (VALUES {EDGES}) AS t(c, p)), w AS (SELECT c AS node, p AS ancestor FROM e UNION SELECT w.node, e.p FROM w JOIN e ON e.c = w.ancestor) SELECT node, ancestor, node = ancestor AS cyclic FROM w",
-)
+def snapshot_edges(spark, sf_dir):
+    """(nodes, edges): a customer's orders of a year as artifacts that were made from one another, cycles and lost parents among them."""
+    held = spark.sql(SNAPSHOTS_SQL.replace("FROM orders", "FROM {orders}"), orders=table(spark, sf_dir, "orders"))
+    edges = held.selectExpr("id AS c", "parent AS p").unionByName(held.selectExpr("id AS c", "supersedes AS p")).where("p IS NOT NULL").distinct()
+    return held.select("id"), edges
+
+
+@query("a4_lineage_ancestors", f"WITH RECURSIVE {_EDGES_SQL}, w AS (SELECT c AS node, p AS ancestor FROM e UNION SELECT w.node, e.p FROM w JOIN e ON e.c = w.ancestor) SELECT node, ancestor, node = ancestor AS cyclic FROM w")
 def a4_lineage_ancestors(spark, sf_dir):
     """All ancestors of each artifact; an artifact that is its own ancestor is on a cycle."""
-    return lineage.ancestors(rows(spark, EDGES, "c, p"), "c", "p").withColumn("cyclic", F.col("node") == F.col("ancestor"))
+    return lineage.ancestors(snapshot_edges(spark, sf_dir)[1], "c", "p").withColumn("cyclic", F.col("node") == F.col("ancestor"))
 
 
-@query("a4_missing_parents", f"SELECT c, p FROM (VALUES {EDGES}) AS t(c, p) WHERE p NOT IN ('a', 'b', 'c', 'd', 'e', 'f', 'x', 'y')")
+@query("a4_missing_parents", f"WITH {_EDGES_SQL} SELECT c, p FROM e WHERE p NOT IN (SELECT id FROM s)")
 def a4_missing_parents(spark, sf_dir):
     """Edges to artifacts that do not exist."""
-    nodes = rows(spark, "('a'), ('b'), ('c'), ('d'), ('e'), ('f'), ('x'), ('y')", "n")
-    return lineage.missing_parents(rows(spark, EDGES, "c, p"), nodes, "c", "p", "n")
+    nodes, edges = snapshot_edges(spark, sf_dir)
+    return lineage.missing_parents(edges, nodes, "c", "p", "id")
 
 
 @query("a9_dangling_references", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 5)")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from factloom.operators import intervals as iv
-from factloom.plans.catalog import query, rows, table
+from factloom.plans.catalog import dealt, query, table
 
 SEGMENTS_SQL = """SELECT conv_id, turn, role, text, CAST(coalesce(sum(length(text) * 60) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_ms,
     CAST(sum(length(text) * 60) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS end_ms FROM conversations"""
@@ -177,20 +177,21 @@ BINDINGS = (
 @query(
     "f5_binding_overlap",
     f"""SELECT binding_id, (s IS NOT NULL OR e IS NOT NULL) AND (e IS NULL OR e >= DATE '2024-03-31') AND (s IS NULL OR s <= DATE '2024-06-30') AS overlaps FROM (VALUES {BINDINGS}) AS t(binding_id, s, e)""",
+    over=BINDINGS, key="binding_id",
 )
 def f5_binding_overlap(spark, sf_dir):
     """Temporal bindings that meet the second quarter: closed intervals, open ends unbounded, no ends no match."""
     lo, hi = F.lit("2024-03-31").cast("date"), F.lit("2024-06-30").cast("date")
-    return rows(spark, BINDINGS, "binding_id, s, e").select("binding_id", iv.overlaps_closed(F.col("s"), F.col("e"), lo, hi).alias("overlaps"))
+    return dealt(spark, sf_dir, BINDINGS, "binding_id, s, e").select("binding_id", iv.overlaps_closed(F.col("s"), F.col("e"), lo, hi).alias("overlaps"))
 
 
 OCR = "(1, 0, 1000, 1000, 2000), (2, 0, 1000, 999, 2000), (3, 0, CAST(NULL AS INT), 5000, 6000), (4, 500, 600, 0, 5000)"
 
 
-@query("j12_ocr_overlap", f"SELECT pair, (a IS NULL OR b IS NULL OR c IS NULL OR d IS NULL) OR (a < d AND c < b) AS overlaps FROM (VALUES {OCR}) AS t(pair, a, b, c, d)")
+@query("j12_ocr_overlap", f"SELECT pair, (a IS NULL OR b IS NULL OR c IS NULL OR d IS NULL) OR (a < d AND c < b) AS overlaps FROM (VALUES {OCR}) AS t(pair, a, b, c, d)", over=OCR, key="pair")
 def j12_ocr_overlap(spark, sf_dir):
     """Claim evidence against on-screen text: strict overlap, unknown bounds match."""
-    return rows(spark, OCR, "pair, a, b, c, d").select("pair", iv.overlaps_open(*map(F.col, "abcd")).alias("overlaps"))
+    return dealt(spark, sf_dir, OCR, "pair, a, b, c, d").select("pair", iv.overlaps_open(*map(F.col, "abcd")).alias("overlaps"))
 
 
 @query(

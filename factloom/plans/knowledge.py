@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from factloom.operators import knowledge as kn
 from factloom.plans.asof import LEDGER_SQL, ledger
-from factloom.plans.catalog import query, rows, table
+from factloom.plans.catalog import dealt, query, rows, table
 from factloom.plans.intervals import FRAMES_SQL, SEGMENTS_SQL, frames, segments
 
 SAID = "(1, 'FORECAST', '公司预计明年利润增长'), (2, 'INFERENCE', '因为降价，所以销量上升'), (3, 'PRICE', '股价已经下滑'), (4, 'PRICE', '我认为看好'), (5, 'OTHER', '收入和利润以及订单'), (6, 'OPINION', 'GPU 芯片算力'), (7, 'VALUATION', '如果银行资本补充；估值改善'), (8, 'METHOD', '')"
@@ -23,13 +23,14 @@ def has(words):
     CASE WHEN {has(('资本补充', '银行资本', '银行', '保险'))} THEN 'FINANCIAL_SECTOR_CAPITAL_POLICY' WHEN regexp_matches(lower(s), 'ai推理|推理算力|gpu|算力|芯片') THEN 'AI_INFERENCE_COMPUTE' WHEN regexp_matches(s, '信息基础设施|基础设施投资|信息基建') THEN 'INFORMATION_INFRASTRUCTURE_POLICY' WHEN regexp_matches(s, '黄金|央行储备') THEN 'CENTRAL_BANK_GOLD_RESERVES' WHEN regexp_matches(s, '仓位|资金池|止损|均线|杠杆|风险预算|集中度') THEN 'PORTFOLIO_RISK_MANAGEMENT' ELSE 'UNKNOWN' END AS domain,
     CASE WHEN t IN ('FORECAST', 'OPINION') THEN t WHEN t = 'INFERENCE' THEN CASE WHEN {has(kn.CAUSAL)} THEN 'CAUSAL_THESIS' ELSE 'OPINION' END WHEN {has(kn.OPINION)} THEN 'OPINION' WHEN t IN ('PRICE', 'VALUATION') THEN 'FACT' ELSE 'METHOD' END AS nature,
     len(list_filter(string_split_regex(s, '[；;。！？!?]'), lambda c: trim(c) <> '')) = 1 AND NOT regexp_matches(s, '{kn.METRICS}.*(?:以及|同时|并且|，|、|和).*{kn.METRICS}') AS atomic FROM (VALUES {SAID}) AS v(id, t, s)""",
+    over=SAID,
 )
 def t20_statement_classes(spark, sf_dir):
     """Polarity, tense, domain, nature and atomicity of statements."""
     from factloom.functions.text import kind
 
     s, t = F.col("s"), F.col("t")
-    return rows(spark, SAID, "id, t, s").select("id", kn.polarity(s).alias("polarity"), kn.tense(s).alias("tense"), kind(s, kn.DOMAIN_TERMS, "UNKNOWN").alias("domain"), kn.claim_nature(t, s).alias("nature"), kn.atomic(s).alias("atomic"))
+    return dealt(spark, sf_dir, SAID, "id, t, s").select("id", kn.polarity(s).alias("polarity"), kn.tense(s).alias("tense"), kind(s, kn.DOMAIN_TERMS, "UNKNOWN").alias("domain"), kn.claim_nature(t, s).alias("nature"), kn.atomic(s).alias("atomic"))
 
 
 AT = "TIMESTAMP '2024-01-10 00:00:00'"
@@ -43,12 +44,13 @@ UNITS = (
     "f3_pit_modes",
     f"""SELECT id, coalesce(a <= {AT}, true) AS system, coalesce(a <= {AT}, true) AND coalesce(s <= {AT}, false) AND coalesce(q = 'EXACT', false) AS public_strict,
     coalesce(a <= {AT}, true) AND coalesce(s <= {AT}, false) AND coalesce(q IN ('EXACT', 'PUBLISHED_TIME_PROXY', 'INGEST_TIME_UPPER_BOUND'), false) AS public_allow_proxy FROM (VALUES {UNITS}) AS t(id, q, a, s)""",
+    over=UNITS,
 )
 def f3_pit_modes(spark, sf_dir):
     """Which units each point-in-time mode shows."""
     at = F.lit("2024-01-10 00:00:00").cast("timestamp")
     see = lambda mode: kn.pit_match(mode, F.col("q"), F.col("a"), F.col("s"), at)
-    return rows(spark, UNITS, "id, q, a, s").select("id", see("SYSTEM").alias("system"), see("PUBLIC_STRICT").alias("public_strict"), see("PUBLIC_ALLOW_PROXY").alias("public_allow_proxy"))
+    return dealt(spark, sf_dir, UNITS, "id, q, a, s").select("id", see("SYSTEM").alias("system"), see("PUBLIC_STRICT").alias("public_strict"), see("PUBLIC_ALLOW_PROXY").alias("public_allow_proxy"))
 
 
 @query(
@@ -128,16 +130,17 @@ def j13_unique_links(spark, sf_dir):
 
 
 SPANS = "(1, 'A', 0, 10), (1, 'B', 3, 5), (1, 'C', 20, 22), (2, 'D', 1, 1)"
-POINTS = "(10, 1, 4), (11, 1, 8), (12, 1, 18), (13, 1, 19), (14, 1, 31), (15, 2, 9), (16, 2, 10), (17, 3, 1)"
+POINTS = "(1, 1, 4), (2, 1, 8), (3, 1, 18), (4, 1, 19), (5, 1, 31), (6, 2, 9), (7, 2, 10), (8, 3, 1)"
 
 
 @query(
     "j14_containing_thesis",
     f"SELECT point, arg_min(span, struct_pack(a := at_i > e, b := e - s, c := span)) AS span FROM (VALUES {POINTS}) AS p(point, k, at_i) JOIN (VALUES {SPANS}) AS q(k, span, s, e) USING (k) WHERE at_i BETWEEN s AND e + 8 GROUP BY point",
+    over=POINTS, key="point",
 )
 def j14_containing_thesis(spark, sf_dir):
     """Claims under the smallest thesis that contains them, or one that ended at most eight segments before."""
-    return kn.smallest_container(rows(spark, POINTS, "point, k, at_i"), rows(spark, SPANS, "k, span, s, e"), ["k"], "at_i", "s", "e", "span", "point")
+    return kn.smallest_container(dealt(spark, sf_dir, POINTS, "point, k, at_i"), rows(spark, SPANS, "k, span, s, e"), ["k"], "at_i", "s", "e", "span", "point")
 
 
 @query(
@@ -157,11 +160,12 @@ FACTS = "(1, 'acme', '10', 'acme', '10', true), (2, 'acme', '10', 'acme', '12',
 @query(
     "m12_cross_check",
     f"""SELECT id, CASE WHEN ve = '' AND vn = '' THEN 'UNKNOWN' WHEN NOT al THEN 'UNRELATED' WHEN te = ve AND tn <> vn THEN 'CONTRADICTS' WHEN te = ve OR tn = vn THEN 'SUPPORTS' ELSE 'UNRELATED' END AS relation FROM (VALUES {FACTS}) AS t(id, te, tn, ve, vn, al)""",
+    over=FACTS,
 )
 def m12_cross_check(spark, sf_dir):
     """Relation of what a frame shows to what is said."""
     facts = lambda e, n: F.struct(F.array_remove(F.array(e), "").alias("ENTITY"), F.array_remove(F.array(n), "").alias("NUMBER"))
-    r = rows(spark, FACTS, "id, te, tn, ve, vn, al").select("id", "al", facts("te", "tn").alias("t"), facts("ve", "vn").alias("v"))
+    r = dealt(spark, sf_dir, FACTS, "id, te, tn, ve, vn, al").select("id", "al", facts("te", "tn").alias("t"), facts("ve", "vn").alias("v"))
     return r.select("id", kn.cross_check(F.col("t"), F.col("v"), F.col("al"), ["ENTITY"], ["NUMBER"], ["ENTITY", "NUMBER"]).alias("relation"))
 
 

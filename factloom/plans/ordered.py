@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import numeric
 from factloom.operators import ordered
-from factloom.plans.catalog import query, rows, table
+from factloom.plans.catalog import dealt, query, table
 from factloom.plans.intervals import segments
 from factloom.streaming import outbox, run
 
@@ -30,19 +30,20 @@ def w2_temporal_windows(spark, sf_dir):
     return ordered.temporal_windows(segments(spark, sf_dir), "conv_id", "turn", "start_ms", "end_ms", "text", 9000, 15_000, 800)
 
 
+AMOUNTS = "(1, '营收12.5亿元，同比增长30%'), (2, '一万五千亿和两成'), (3, '无')"
 NUMERALS = "(1, '一百五'), (2, '一百零五'), (3, '三千四'), (4, '两万'), (5, '一亿二千万'), (6, 'x'), (7, CAST(NULL AS VARCHAR(3)))"
 
 
-@query("m1_chinese_numerals", "SELECT * FROM (VALUES (1, 150.0::DOUBLE), (2, 105), (3, 3400), (4, 20000), (5, 120000000), (6, NULL), (7, NULL)) AS t(id, value)")
+@query("m1_chinese_numerals", "SELECT * FROM (VALUES (1, 150.0::DOUBLE), (2, 105), (3, 3400), (4, 20000), (5, 120000000), (6, NULL), (7, NULL)) AS t(id, value)", over=NUMERALS)
 def m1_chinese_numerals(spark, sf_dir):
     """Values of Chinese numerals."""
-    return rows(spark, NUMERALS.replace("VARCHAR(3)", "STRING"), "id, s").select("id", numeric.chinese_numbers(F.col("s")).alias("value"))
+    return dealt(spark, sf_dir, NUMERALS.replace("VARCHAR(3)", "STRING"), "id, s").select("id", numeric.chinese_numbers(F.col("s")).alias("value"))
 
 
-@query("m2_amounts", "SELECT * FROM (VALUES (1, 0, 1250000000.0::DOUBLE, 'CNY'), (1, 1, 30, 'PERCENT'), (2, 0, 1500000000000, 'NUMBER'), (2, 1, 20, 'PERCENT')) AS t(id, ordinal, value, unit)")
+@query("m2_amounts", "SELECT * FROM (VALUES (1, 0, 1250000000.0::DOUBLE, 'CNY'), (1, 1, 30, 'PERCENT'), (2, 0, 1500000000000, 'NUMBER'), (2, 1, 20, 'PERCENT')) AS t(id, ordinal, value, unit)", over=AMOUNTS)
 def m2_amounts(spark, sf_dir):
     """Financial numbers with their units."""
-    texts = rows(spark, "(1, '营收12.5亿元，同比增长30%'), (2, '一万五千亿和两成'), (3, '无')", "id, s")
+    texts = dealt(spark, sf_dir, AMOUNTS, "id, s")
     return texts.select("id", F.posexplode(numeric.amounts_of(F.col("s"))).alias("ordinal", "a")).select("id", "ordinal", "a.value", "a.unit")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from factloom.functions import temporal
 from factloom.functions import text as tx
 from factloom.operators import signals as sg
-from factloom.plans.catalog import query, rows, table
+from factloom.plans.catalog import dealt, query, table
 
 WHEN = (
     "(1, '2024年5月3日'), (2, '2024年第二季度'), (3, '第三季度'), (4, '今年1季度'), (5, 'YTD'), (6, 'TTM'), (7, 'NTM'), (8, '昨天'), (9, '明日'), (10, '以后'), (11, '永久'), (12, '2023'), (13, '2024 Q3'), (14, '2024-02-30')"
@@ -19,11 +19,12 @@ WHEN = (
     """SELECT * FROM (VALUES (1, DATE '2024-05-03', DATE '2024-05-03', 'DAY'), (2, DATE '2024-04-01', DATE '2024-06-30', 'QUARTER'), (3, DATE '2024-07-01', DATE '2024-09-30', 'QUARTER'), (4, DATE '2024-01-01', DATE '2024-03-31', 'QUARTER'),
     (5, DATE '2024-01-01', DATE '2024-03-15', 'ROLLING'), (6, DATE '2024-03-15' - 365, DATE '2024-03-15', 'ROLLING'), (7, DATE '2024-03-15', DATE '2024-03-15' + 365, 'ROLLING'), (8, DATE '2024-03-14', DATE '2024-03-14', 'DAY'), (9, DATE '2024-03-16', DATE '2024-03-16', 'DAY'),
     (10, NULL, NULL, 'UNRESOLVED'), (11, NULL, NULL, 'TIMELESS'), (12, DATE '2023-01-01', DATE '2023-12-31', 'PERIOD'), (13, DATE '2024-07-01', DATE '2024-09-30', 'PERIOD'), (14, NULL, NULL, 'UNRESOLVED')) AS t(id, start_date, end_date, kind)""",
+    over=WHEN,
 )
 def d1_time_expressions(spark, sf_dir):
     """Time expressions against the day 2024-03-15."""
     found = temporal.resolve(F.col("s"), F.lit("2024-03-15").cast("date"))
-    return rows(spark, WHEN, "id, s").select("id", found.alias("t")).select("id", "t.start_date", "t.end_date", "t.kind")
+    return dealt(spark, sf_dir, WHEN, "id, s").select("id", found.alias("t")).select("id", "t.start_date", "t.end_date", "t.kind")
 
 
 CUE_TEXTS = "(1, '营收 12.5亿元，看K线'), (2, '600519 上涨'), (3, '2024年5月3日 政策公告'), (4, '平安银行与半导体芯片'), (5, '随便聊聊'), (6, '关注上游设备')"
@@ -36,21 +37,22 @@ CUE_TEXTS = "(1, '营收 12.5亿元，看K线'), (2, '600519 上涨'), (3, '2024
       CASE WHEN regexp_matches(s, '产品|型号|芯片|GPU|CPU|服务器|软件|平台|版本') THEN 'PRODUCT' END, CASE WHEN regexp_matches(s, '行业|板块|赛道|产业链|金融|算力|半导体|银行业') THEN 'INDUSTRY' END, CASE WHEN regexp_matches(s, 'K线|走势图|曲线|图表|成交量|均线|支撑位|压力位') THEN 'CHART' END,
       CASE WHEN regexp_matches(s, '政策|文件|通知|公告|规划|条例|意见|增资|降准') THEN 'POLICY_DOCUMENT' END, CASE WHEN regexp_matches(s, '关注|關注|上游|设备|設備|弹性|彈性') THEN 'TARGET_CUE' END], lambda x: x IS NOT NULL), ',') AS cues,
     array_to_string(list_filter(['算力', '黄金', '半导体', 'AI', '消费', '券商', '银行', '新能源', '医药'], lambda x: contains(s, x)), ',') AS themes FROM (VALUES {CUE_TEXTS}) AS t(id, s)""",
+    over=CUE_TEXTS,
 )
 def t29_cues(spark, sf_dir):
     """Cues for frames and themes of texts."""
     s = F.col("s")
-    return rows(spark, CUE_TEXTS, "id, s").select("id", F.array_join(tx.cues(s), ",").alias("cues"), F.array_join(tx.themes(s, ("算力",)), ",").alias("themes"))
+    return dealt(spark, sf_dir, CUE_TEXTS, "id, s").select("id", F.array_join(tx.cues(s), ",").alias("cues"), F.array_join(tx.themes(s, ("算力",)), ",").alias("themes"))
 
 
 CLAIMS = "(1, 'AAPL rose 12%', 'AAPL said it rose 12% today'), (2, 'AAPL rose 13%', 'AAPL rose 12%'), (3, 'no tokens here', ''), (4, 'BRK.B at 3,5', 'BRK.B')"
 
 
-@query("k1_token_grounding", "SELECT * FROM (VALUES (1, '', true), (2, '13%', false), (3, '', true), (4, '3,5', false)) AS t(id, missing, grounded)")
+@query("k1_token_grounding", "SELECT * FROM (VALUES (1, '', true), (2, '13%', false), (3, '', true), (4, '3,5', false)) AS t(id, missing, grounded)", over=CLAIMS)
 def k1_token_grounding(spark, sf_dir):
     """Hard tokens of conclusions that their evidence lacks."""
     lost = tx.ungrounded(F.col("c"), F.col("e"))
-    return rows(spark, CLAIMS, "id, c, e").select("id", F.array_join(lost, "|").alias("missing"), (F.size(lost) == 0).alias("grounded"))
+    return dealt(spark, sf_dir, CLAIMS, "id, c, e").select("id", F.array_join(lost, "|").alias("missing"), (F.size(lost) == 0).alias("grounded"))
 
 
 @query("t2_corrections", r"SELECT conv_id, turn, CASE WHEN text <> trim(regexp_replace(text, '[\t\n\r\f\v ]+', ' ', 'g')) THEN 1 ELSE 0 END AS n_corrections FROM conversations")
@@ -72,10 +74,10 @@ def a6_signal_projection(spark, sf_dir):
 PAYLOADS = """(1, '{"claim":1,"order":2}'), (2, '{"claim":1}'), (3, '{"leverage":1,"order":0,"x":{"position":1}}'), (4, '[]')"""
 
 
-@query("f28_trading_fields", f"SELECT id, array_to_string(list_sort(list_intersect(CASE WHEN json_type(s::JSON) = 'OBJECT' THEN json_keys(s::JSON) ELSE [] END, ['order', 'position', 'leverage', 'trade_authorization'])), ',') AS forbidden FROM (VALUES {PAYLOADS}) AS t(id, s)")
+@query("f28_trading_fields", f"SELECT id, array_to_string(list_sort(list_intersect(CASE WHEN json_type(s::JSON) = 'OBJECT' THEN json_keys(s::JSON) ELSE [] END, ['order', 'position', 'leverage', 'trade_authorization'])), ',') AS forbidden FROM (VALUES {PAYLOADS}) AS t(id, s)", over=PAYLOADS)
 def f28_trading_fields(spark, sf_dir):
     """Top-level fields that a content signal must not carry."""
-    return rows(spark, PAYLOADS, "id, s").select("id", F.coalesce(F.array_join(sg.trading_fields(F.col("s")), ","), F.lit("")).alias("forbidden"))
+    return dealt(spark, sf_dir, PAYLOADS, "id, s").select("id", F.coalesce(F.array_join(sg.trading_fields(F.col("s")), ","), F.lit("")).alias("forbidden"))
 
 
 @query(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from factloom.functions import text as tx
-from factloom.plans.catalog import query, rows, table
+from factloom.plans.catalog import dealt, query, table, tuples
 
 ENGLISH_KINDS = {"CATALYST": ("with",), "RISK": ("und", "risk"), "VALUATION": ("pe", "pb"), "EARNINGS": ("que",)}
 
@@ -58,12 +58,12 @@ STATEMENTS = (
     CASE WHEN len(list_filter(['增长','利好','上涨','增持','突破','改善','bullish'], lambda x: contains(lower(s), x))) > len(list_filter(['下跌','利空','风险','减持','恶化','bearish'], lambda x: contains(lower(s), x))) THEN 'BULLISH'
       WHEN len(list_filter(['增长','利好','上涨','增持','突破','改善','bullish'], lambda x: contains(lower(s), x))) < len(list_filter(['下跌','利空','风险','减持','恶化','bearish'], lambda x: contains(lower(s), x))) THEN 'BEARISH' ELSE 'NEUTRAL' END AS sentiment,
     CASE WHEN event_type IS NULL THEN NULL ELSE 'evt_' || substr(sha256(id || ':' || event_type), 1, 32) END AS financial_event_id
-    FROM (VALUES {STATEMENTS}) AS t(id, s)""",
+    FROM (SELECT e.event_id AS id, p.s FROM events e JOIN (VALUES {STATEMENTS}) AS p(n, s) ON p.n = CAST(e.props::JSON->>'k' AS BIGINT) % {tuples(STATEMENTS)} + 1)""",
 )
 def t7_chinese_rules(spark, sf_dir):
     """Event type, predicate, kind and sentiment of Chinese statements, and the event's id."""
     s = F.col("s")
-    out = rows(spark, STATEMENTS, "id, s").select("id", tx.first_term(s, tx.EVENT_TERMS).alias("event_type"), tx.first_term(s, tx.PREDICATE_TERMS, "state").alias("predicate_key"), tx.kind(s).alias("kind"), tx.sentiment(s).alias("sentiment"))
+    out = dealt(spark, sf_dir, STATEMENTS, "id, s").select("id", tx.first_term(s, tx.EVENT_TERMS).alias("event_type"), tx.first_term(s, tx.PREDICATE_TERMS, "state").alias("predicate_key"), tx.kind(s).alias("kind"), tx.sentiment(s).alias("sentiment"))
     return out.withColumn("financial_event_id", F.expr("'evt_' || substr(sha2(concat(id, ':', event_type), 256), 1, 32)"))
 
 
@@ -77,11 +77,12 @@ IDENTIFIERS = "(1, 'id 11010519491231002X end'), (2, 'mail a.b@c.example and 138
     + r""") AS t(id, s)), b AS (SELECT *, regexp_replace(s1, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[REDACTED:EMAIL]', 'g') AS s2 FROM a),
     c AS (SELECT *, regexp_replace(s2, '(^|[^0-9])(?:\+?86[- ]?)?1[3-9][0-9]{9}($|[^0-9])', '\1[REDACTED:CN_MOBILE]\2', 'g') AS s3 FROM b)
     SELECT id, s3 AS redacted, list_filter([CASE WHEN s1 <> s THEN 'CN_NATIONAL_ID' END, CASE WHEN s2 <> s1 THEN 'EMAIL' END, CASE WHEN s3 <> s2 THEN 'CN_MOBILE' END], lambda x: x IS NOT NULL) AS kinds FROM c""",
+    over=IDENTIFIERS,
 )
 def t10_pii_redaction(spark, sf_dir):
     """Direct identifiers replaced in order: national id, email, mobile."""
     text, kinds = tx.redacted_pii(F.col("s"))
-    return rows(spark, IDENTIFIERS, "id, s").select("id", text.alias("redacted"), kinds.alias("kinds"))
+    return dealt(spark, sf_dir, IDENTIFIERS, "id, s").select("id", text.alias("redacted"), kinds.alias("kinds"))
 
 
 @query(
@@ -104,10 +105,11 @@ CREDENTIALS = "(1, 'https://u.example/p/q?token=1#f'), (2, 'call with Bearer abc
     ELSE regexp_replace(regexp_replace(s, '(?i)\bbearer\s+\S+', 'Bearer <redacted>', 'g'), '(?i)\b(token|sig(?:nature)?|x-amz-(?:signature|credential)|authorization|cookie|key)=[^\s&]+', '\1=<redacted>', 'g') END AS redacted FROM (VALUES """
     + CREDENTIALS
     + ") AS t(id, s)",
+    over=CREDENTIALS,
 )
 def t11_credential_redaction(spark, sf_dir):
     """URLs without query and fragment; credentials replaced elsewhere."""
-    return rows(spark, CREDENTIALS, "id, s").select("id", tx.redacted_credentials(F.col("s")).alias("redacted"))
+    return dealt(spark, sf_dir, CREDENTIALS, "id, s").select("id", tx.redacted_credentials(F.col("s")).alias("redacted"))
 
 
 @query("t13_public_urls", r"SELECT page_id, CASE WHEN regexp_matches(url, '^https://[^/?#@\s]+([/?#]|$)') THEN regexp_extract(url, '^(https://[^/?#@\s]+[^?#]*)', 1) END AS public_url FROM pages")
@@ -122,10 +124,11 @@ FACTS = "(1, '营收 12.5亿元 同比 30%'), (2, 'AAPL 与 600519.SH 在 2024 Q
 @query(
     "t27_hard_facts",
     rf"SELECT id, regexp_extract_all(s, '(?:\d+(?:\.\d+)?%|(?:人民币|美元|港元|CNY|USD|HKD|¥|\$)\s?\d+(?:\.\d+)?(?:亿(?:元)?|万(?:元)?|千(?:元)?|元)?|\d+(?:\.\d+)?(?:亿(?:元)?|万(?:元)?|千(?:元)?|元)|(?:20\d{{2}}\s*[Qq][1-4]|[Qq][1-4]\s*20\d{{2}})|(?:[A-Z]{{1,5}}|\d{{6}})(?:\.[A-Z]{{2}})?)') AS facts FROM (VALUES {FACTS}) AS t(id, s)",
+    over=FACTS,
 )
 def t27_hard_facts(spark, sf_dir):
     """Numbers, quarters and symbols that a transcript must not change."""
-    return rows(spark, FACTS, "id, s").select("id", tx.hard_facts(F.col("s")).alias("facts"))
+    return dealt(spark, sf_dir, FACTS, "id, s").select("id", tx.hard_facts(F.col("s")).alias("facts"))
 
 
 @query(
@@ -171,10 +174,10 @@ def t32_titles(spark, sf_dir):
 NAMES = "(1, 'acme corp', 'acne corp'), (2, 'acme corp', 'acme cor'), (3, 'zeta', 'alpha'), (4, 'abc', 'abc'), (5, 'abcd', 'abxy')"
 
 
-@query("t24_edit_distance", f"SELECT id, levenshtein(a, b) <= 1 AS same FROM (VALUES {NAMES}) AS t(id, a, b)")
+@query("t24_edit_distance", f"SELECT id, levenshtein(a, b) <= 1 AS same FROM (VALUES {NAMES}) AS t(id, a, b)", over=NAMES)
 def t24_edit_distance(spark, sf_dir):
     """Names that differ in one character at most."""
-    return rows(spark, NAMES, "id, a, b").select("id", (F.levenshtein("a", "b", 1) >= 0).alias("same"))
+    return dealt(spark, sf_dir, NAMES, "id, a, b").select("id", (F.levenshtein("a", "b", 1) >= 0).alias("same"))
 
 
 @query(
@@ -195,10 +198,11 @@ PLAYLISTS = "(1, '#EXTM3U'), (2, '#EXT-X-KEY:METHOD=NONE'), (3, '#ext-x-key:meth
 @query(
     "f27_drm_class",
     f"""SELECT id, CASE WHEN NOT starts_with(upper(s), '#EXT-X-KEY') OR contains(upper(s), 'METHOD=NONE') THEN 'NONE' WHEN contains(upper(s), 'METHOD=AES-128') THEN 'AES_128' WHEN contains(upper(s), 'METHOD=SAMPLE-AES') THEN 'SAMPLE_AES' ELSE 'UNKNOWN_ENCRYPTED' END AS drm FROM (VALUES {PLAYLISTS}) AS t(id, s)""",
+    over=PLAYLISTS,
 )
 def f27_drm_class(spark, sf_dir):
     """Encryption that playlists declare."""
-    return rows(spark, PLAYLISTS, "id, s").select("id", tx.drm(F.col("s")).alias("drm"))
+    return dealt(spark, sf_dir, PLAYLISTS, "id, s").select("id", tx.drm(F.col("s")).alias("drm"))
 
 
 @query(
