@@ -18,12 +18,12 @@ def segments(spark, sf_dir):
     return table(spark, sf_dir, "conversations").withColumns({"end_ms": upto, "start_ms": upto - F.length("text") * 60})
 
 
-#: Speech of one role only, with an overlap of 300 ms into the next turn: leaves gaps and overlaps.
-SPOKEN_SQL = f"SELECT conv_id, turn, start_ms, end_ms + 300 AS end_ms, max(end_ms) OVER (PARTITION BY conv_id) AS duration FROM ({SEGMENTS_SQL}) WHERE turn % 3 <> 1"
+#: What users and the system say, each 300 ms into the next turn: leaves gaps where the assistant answers, and overlaps.
+SPOKEN_SQL = f"SELECT conv_id, turn, start_ms, end_ms + 300 AS end_ms, max(end_ms) OVER (PARTITION BY conv_id) AS duration FROM ({SEGMENTS_SQL}) WHERE role <> 'assistant'"
 
 
 def spoken(spark, sf_dir):
-    kept = segments(spark, sf_dir).where("turn % 3 <> 1").withColumn("duration", F.max("end_ms").over(Window.partitionBy("conv_id")))
+    kept = segments(spark, sf_dir).where("role <> 'assistant'").withColumn("duration", F.max("end_ms").over(Window.partitionBy("conv_id")))
     return kept.selectExpr("conv_id", "turn", "start_ms", "end_ms + 300 AS end_ms", "duration")
 
 

@@ -92,12 +92,12 @@ def m10_reading_levels(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", sm.reading_level(1 - F.col("l_discount")).alias("level"))
 
 
-@query("t22_locatable_quotes", "SELECT a.conv_id, a.turn, contains(lower(b.text), lower(trim(substr(a.text, 1, 12)))) AS located FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = 0")
+@query("t22_locatable_quotes", "SELECT a.conv_id, a.turn, contains(lower(b.text), lower(trim(a.text))) AS located FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = 0")
 def t22_locatable_quotes(spark, sf_dir):
-    """Whether the beginning of each turn stands in the first one, case ignored."""
+    """Whether each turn stands as a whole in the first one, case ignored."""
     turns = table(spark, sf_dir, "conversations")
     first = turns.where("turn = 0").select("conv_id", F.col("text").alias("first"))
-    return turns.join(first, "conv_id").select("conv_id", "turn", F.contains(F.lower("first"), F.lower(F.trim(F.substring("text", 1, 12)))).alias("located"))
+    return turns.join(first, "conv_id").select("conv_id", "turn", F.contains(F.lower("first"), F.lower(F.trim("text"))).alias("located"))
 
 
 @query("t6_sentiments", "SELECT * FROM (VALUES (1, 'NEUTRAL'), (2, 'BULLISH'), (3, 'NEUTRAL'), (4, 'NEUTRAL'), (5, 'NEUTRAL'), (6, 'NEUTRAL'), (7, 'NEUTRAL'), (8, 'NEUTRAL'), (9, 'NEUTRAL'), (10, 'NEUTRAL')) AS t(id, sentiment)", over=STATEMENTS)

@@ -92,15 +92,15 @@ def w9_transcript_selection(spark, sf_dir):
 
 @query(
     "g3_registry_merge",
-    """WITH a AS (SELECT c_custkey AS k, (['OPEN', 'AUTO_RESOLVED', 'MANUAL_RESOLVED', 'SUPERSEDED'])[CAST(c_custkey % 4 AS INT) + 1] AS s, c_custkey % 4 AS p FROM customer WHERE c_custkey % 3 <> 0), b AS (SELECT c_custkey AS k, (['OPEN', 'AUTO_RESOLVED', 'MANUAL_RESOLVED', 'SUPERSEDED'])[CAST(c_custkey // 4 % 4 AS INT) + 1] AS s, c_custkey // 4 % 4 AS p FROM customer WHERE c_custkey % 5 <> 0)
+    """WITH a AS (SELECT c_custkey AS k, (['OPEN', 'AUTO_RESOLVED', 'MANUAL_RESOLVED', 'SUPERSEDED'])[CAST(c_custkey % 4 AS INT) + 1] AS s, c_custkey % 4 AS p FROM customer WHERE c_nationkey >= 8), b AS (SELECT c_custkey AS k, (['OPEN', 'AUTO_RESOLVED', 'MANUAL_RESOLVED', 'SUPERSEDED'])[CAST(c_custkey // 4 % 4 AS INT) + 1] AS s, c_custkey // 4 % 4 AS p FROM customer WHERE c_acctbal < 8000)
     SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NULL OR b.p > a.p THEN b.s ELSE a.s END AS s FROM a FULL JOIN b ON a.k = b.k""",
 )
 def g3_registry_merge(spark, sf_dir):
     """Conflict states after a rerun: they advance but never fall back."""
     names = "array('OPEN', 'AUTO_RESOLVED', 'MANUAL_RESOLVED', 'SUPERSEDED')"
     base = table(spark, sf_dir, "customer")
-    old = base.where("c_custkey % 3 <> 0").selectExpr("c_custkey AS k", f"{names}[CAST(c_custkey % 4 AS INT)] AS s")
-    new = base.where("c_custkey % 5 <> 0").selectExpr("c_custkey AS k", f"{names}[CAST(c_custkey div 4 % 4 AS INT)] AS s")
+    old = base.where("c_nationkey >= 8").selectExpr("c_custkey AS k", f"{names}[CAST(c_custkey % 4 AS INT)] AS s")
+    new = base.where("c_acctbal < 8000").selectExpr("c_custkey AS k", f"{names}[CAST(c_custkey div 4 % 4 AS INT)] AS s")
     return sg.advance(old, new, "k", "s", ["OPEN", "AUTO_RESOLVED", "MANUAL_RESOLVED", "SUPERSEDED"])
 
 

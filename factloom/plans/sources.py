@@ -1,4 +1,4 @@
-"""Source and sink queries: subtitles from literal bodies, writes over `customer` and `orders`."""
+"""Source and sink queries: subtitles of `conversations`, writes over `customer` and `orders`."""
 
 from __future__ import annotations
 
@@ -78,22 +78,22 @@ def s7_track_preference(spark, sf_dir):
     return subtitles.chinese_track(dealt(spark, sf_dir, TRACKS, "v, pos, lang, src", 4), "v", "lang", "src", "pos")
 
 
-@query("s13_insert_ignore", "SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey % 3 <> 0 UNION ALL SELECT c_custkey, 'new' FROM customer WHERE c_custkey % 3 = 0 AND c_custkey % 2 = 0")
+@query("s13_insert_ignore", "SELECT c_custkey, c_mktsegment FROM customer WHERE c_nationkey >= 8 UNION ALL SELECT c_custkey, 'new' FROM customer WHERE c_nationkey < 8 AND c_acctbal >= 5000")
 def s13_insert_ignore(spark, sf_dir):
     """Rows whose key exists are left as they are."""
     base = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
-    return sinks.insert_ignore(base.where("c_custkey % 3 <> 0"), base.where("c_custkey % 2 = 0").withColumn("c_mktsegment", F.lit("new")), ["c_custkey"])
+    return sinks.insert_ignore(base.where("c_nationkey >= 8"), base.where("c_acctbal >= 5000").withColumn("c_mktsegment", F.lit("new")), ["c_custkey"])
 
 
 @query(
     "s15_replace_for_parent",
-    """SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 4 = 0 AND o_custkey IN (SELECT o_custkey FROM orders WHERE o_orderkey % 4 = 0) THEN 'ACTIVE'
-      WHEN o_custkey IN (SELECT o_custkey FROM orders WHERE o_orderkey % 4 = 0) THEN 'SUPERSEDED' ELSE o_orderstatus END AS status FROM orders""",
+    """SELECT o_orderkey, o_custkey, CASE WHEN o_totalprice >= 300000 AND o_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice >= 300000) THEN 'ACTIVE'
+      WHEN o_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice >= 300000) THEN 'SUPERSEDED' ELSE o_orderstatus END AS status FROM orders""",
 )
 def s15_replace_for_parent(spark, sf_dir):
     """Replacement of a parent's rows: missing ones are superseded, other parents untouched."""
     old = table(spark, sf_dir, "orders").selectExpr("o_orderkey", "o_custkey", "o_orderstatus AS status")
-    new = old.where("o_orderkey % 4 = 0").withColumn("status", F.lit("ACTIVE"))
+    new = old.where("o_totalprice >= 300000").withColumn("status", F.lit("ACTIVE"))
     return sinks.replace_for_parent(old, new, "o_custkey", "o_orderkey", "status")
 
 
