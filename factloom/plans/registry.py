@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factloom.plans import aggregates, asof, calendars, catalog, claims, decisions, entities, identity, intervals, knowledge, nested, ordered, packing, replay, retrieval, semantics, sets, signals, tasks, texts, verification  # noqa: F401
+from factloom.plans import aggregates, asof, calendars, catalog, claims, decisions, entities, identity, intervals, knowledge, nested, ordered, packing, replay, retrieval, semantics, sets, signals, tasks, texts, vectors, verification  # noqa: F401
 from factloom.plans import sources as _sources  # noqa: F401
 
 QUERIES = catalog.QUERIES

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from factloom.sources.shared import written
+from factloom.sources.shared import exists, written
 
 # fixed values: states, transitions and what operators may ask for
 TRANSITIONS = {
@@ -168,14 +168,9 @@ def effect_sink(path: str, fences: Callable[[SparkSession], DataFrame]) -> Calla
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         # any number below, not just the one before: batch numbers need not follow each other
-        folders = spark.read.schema(f"{schema}, batch long").option("basePath", f"{path}/ledger").parquet(f"{path}/ledger") if _exists(spark, f"{path}/ledger") else spark.createDataFrame([], f"{schema}, batch long")
+        folders = spark.read.schema(f"{schema}, batch long").option("basePath", f"{path}/ledger").parquet(f"{path}/ledger") if exists(spark, f"{path}/ledger") else spark.createDataFrame([], f"{schema}, batch long")
         judged = written(judge_effects(batch.dropDuplicates(), fences(spark), folders.where(F.col("batch") < number)))
         judged.where(F.col("verdict") == DONE).select("effect_id", "kind", "payload_hash", "token").write.mode("overwrite").parquet(f"{path}/ledger/batch={number}")
         judged.write.mode("overwrite").parquet(f"{path}/verdicts/batch={number}")
 
     return write
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
