@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from factloom.functions import text as tx
 from factloom.operators import entities
 from factloom.plans.catalog import query, table
 
@@ -58,3 +59,27 @@ def t15_company_names(spark, sf_dir):
     """Likely company names without the fillers before them, in whole texts."""
     said = table(spark, sf_dir, "documents").select("doc_id", F.expr(MENTIONS).alias("text"))
     return said.select("doc_id", F.posexplode(entities.company_names(F.col("text"))).alias("ordinal", "name"))
+
+
+@query("f10_ticker_codes", rf"SELECT doc_id, nullif(regexp_extract(text, '(^|[^0-9])([0-9]{{6}})($|[^0-9])', 2), '') AS code FROM ({_SAID})")
+def f10_ticker_codes(spark, sf_dir):
+    """The first run of exactly six digits in each document."""
+    said = table(spark, sf_dir, "documents").select("doc_id", F.expr(MENTIONS).alias("text"))
+    return said.select("doc_id", tx.ticker(F.col("text")).alias("code"))
+
+
+@query(
+    "t3_sentences",
+    r"SELECT doc_id, unnest(range(len(s)::BIGINT)) AS ordinal, md5(unnest(s)) AS sentence_hash FROM (SELECT doc_id, string_split(regexp_replace(text, '([。！？!?；;])[ \t\n\f\r]*', '\1' || chr(1), 'g'), chr(1)) AS s FROM documents)",
+)
+def t3_sentences(spark, sf_dir):
+    """Sentences of whole documents, cut after their end marks."""
+    cut = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(tx.sentences(F.col("text"))).alias("ordinal", "s"))
+    return cut.select("doc_id", "ordinal", F.md5(F.col("s").cast("binary")).alias("sentence_hash"))
+
+
+@query("t16_themes", f"SELECT doc_id, array_to_string(list_filter({list(('算力', *tx.THEMES))}, lambda t: contains(text, t)), ',') AS themes FROM ({_SAID})")
+def t16_themes(spark, sf_dir):
+    """Known themes, then fallback ones, that each document names."""
+    said = table(spark, sf_dir, "documents").select("doc_id", F.expr(MENTIONS).alias("text"))
+    return said.select("doc_id", F.array_join(tx.themes(F.col("text"), ("算力",)), ",").alias("themes"))

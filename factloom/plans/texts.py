@@ -218,3 +218,13 @@ def f26_sensitive_documents(spark, sf_dir):
 def f19_low_value(spark, sf_dir):
     """Statements of 8 to 240 characters that are no mere phrase."""
     return table(spark, sf_dir, "conversations").where("length(text) BETWEEN 8 AND 240 AND NOT text RLIKE '(?i)^(ok|thanks|hello)'").select("conv_id", "turn")
+
+
+@query(
+    "t8_predicate_keys",
+    f"""SELECT e.event_id AS id, CASE WHEN contains(s, '支撑') THEN 'support_level' WHEN contains(s, '压力') OR contains(s, '阻力') THEN 'resistance_level' WHEN contains(s, '减仓') THEN 'reduce_position' WHEN contains(s, '加仓') THEN 'increase_position' ELSE 'state' END AS predicate_key
+    FROM events e JOIN (VALUES {STATEMENTS}) AS p(n, s) ON p.n = CAST(e.props::JSON->>'k' AS BIGINT) % {tuples(STATEMENTS)} + 1""",
+)
+def t8_predicate_keys(spark, sf_dir):
+    """Predicate of what each event says, by its first key word."""
+    return dealt(spark, sf_dir, STATEMENTS, "id, s").select("id", tx.first_term(F.col("s"), tx.PREDICATE_TERMS, "state").alias("predicate_key"))
