@@ -132,7 +132,7 @@ def l55_dual_heads(spark, sf_dir):
 )
 def k24_initial_signals(spark, sf_dir):
     """A signal for every claim with its latest known state, pending where there is none."""
-    latest = results(spark, sf_dir).where(F.col("available_at") <= at()).groupBy("claim_id").agg(F.max_by("status", F.struct("available_at", "verification_id")).alias("status"))
+    latest = results(spark, sf_dir).where(F.col("available_at") <= at()).groupBy("claim_id").agg(F.max(F.struct("available_at", "verification_id", "status"))["status"].alias("status"))
     made = claims(spark, sf_dir).join(latest, "claim_id", "left").select("claim_id", F.coalesce("status", F.lit(vf.PENDING)).alias("status"))
     return made.select("claim_id", F.concat(F.lit("signal-"), F.substring(F.sha2(F.concat_ws("|", F.col("claim_id").cast("string"), "status"), 256), 1, 24)).alias("signal_id"), "status").dropDuplicates(["signal_id"])
 
