@@ -48,11 +48,11 @@ def initial_plan(claims: DataFrame, results: DataFrame, provider: str, at: Colum
     """(claim_id, requirement, artifact_status, action, ref): what each claim starts with at an instant.
 
     claims: claim_id, claim_type; results: claim_id, verification_id, status, available_at, policy, where pending rows
-    are jobs. The latest terminal result known then under the policy is reused, else an active job, else a job is made.
+    are jobs. The latest terminal result known then under the policy (of several with one id and time the greatest status) is reused, else an active job, else a job is made.
     Claims that nobody can check get a terminal result whose id does not depend on the time.
     """
     known = results.where(F.col("available_at") <= at)
-    done = known.where(F.col("status").isin(*TERMINAL) & (F.col("policy") == policy)).groupBy("claim_id").agg(F.max_by(F.struct("verification_id", "status"), F.struct("available_at", "verification_id")).alias("done"))
+    done = known.where(F.col("status").isin(*TERMINAL) & (F.col("policy") == policy)).groupBy("claim_id").agg(F.max(F.struct("available_at", "verification_id", "status")).alias("done"))
     jobs = known.where(F.col("status") == PENDING).groupBy("claim_id").agg(F.min("verification_id").alias("job"))
     need = requirement(F.col("claim_type"))
     own = F.concat(F.lit("verification-"), F.substring(F.sha2(F.concat_ws("|", F.col("claim_id").cast("string"), F.lit(provider), F.col("requirement")), 256), 1, 32))

@@ -25,7 +25,7 @@ RESULTS = {
 }
 
 
-@pytest.mark.parametrize("name", ["k24_initial_signals"])
+@pytest.mark.parametrize("name", ["k24_initial_signals", "k9_initial_plan"])
 def test_results_of_one_id_and_time(spark, tmp_path, name):
     """Several results with the same id and time: the greatest status is the latest."""
     assert len(same(spark, tmp_path, RESULTS, name)) == 40
