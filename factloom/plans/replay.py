@@ -19,7 +19,7 @@ FAULTS_SQL = "SELECT user_id, bool_or(value < 0.5) AS invalid, min_by(event_type
 
 def claims(spark, sf_dir):
     day = "timestamp_ntz'2024-01-01' + make_dt_interval(day(o_orderdate))"
-    return spark.sql(CLAIMS.format(day=day, minutes="make_dt_interval(0, 0, CAST(CAST(floor(o_totalprice + 0.5) AS BIGINT) % 120 - 30 AS INT))").replace("FROM orders", "FROM {orders}"), orders=table(spark, sf_dir, "orders"))
+    return spark.sql(CLAIMS.format(day=day, minutes="make_dt_interval(0, 0, CAST(CAST(rint(o_totalprice) AS BIGINT) % 120 - 30 AS INT))").replace("FROM orders", "FROM {orders}"), orders=table(spark, sf_dir, "orders"))
 
 
 def history_faults(spark, sf_dir):

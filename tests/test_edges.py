@@ -29,3 +29,13 @@ RESULTS = {
 def test_results_of_one_id_and_time(spark, tmp_path, name):
     """Several results with the same id and time: the greatest status is the latest."""
     assert len(same(spark, tmp_path, RESULTS, name)) == 40
+
+
+@pytest.mark.parametrize("name", ["l51_payloads_at_own_clocks"])
+def test_prices_of_half_a_unit(spark, tmp_path, name):
+    """Minutes are prices rounded half to even; an event known in the very minute tells."""
+    tables = {
+        "orders": "SELECT range AS o_orderkey, range * 10 AS o_custkey, 'O' AS o_orderstatus, 30.5 + range::DOUBLE AS o_totalprice, TIMESTAMP '1997-05-01' AS o_orderdate FROM range(60)",
+        "events": "SELECT range AS event_id, TIMESTAMP '2024-01-01' AS ts, range % 60 AS user_id, 'view' AS event_type, 5.0 + range AS value, '{\"k\": ' || (1440 + range % 60 + range // 60) || '}' AS props FROM range(120)",
+    }
+    same(spark, tmp_path, tables, name)
