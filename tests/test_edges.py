@@ -31,7 +31,7 @@ def test_results_of_one_id_and_time(spark, tmp_path, name):
     assert len(same(spark, tmp_path, RESULTS, name)) == 40
 
 
-@pytest.mark.parametrize("name", ["l51_payloads_at_own_clocks"])
+@pytest.mark.parametrize("name", ["l51_payloads_at_own_clocks", "l51_replay_at_own_clocks"])
 def test_prices_of_half_a_unit(spark, tmp_path, name):
     """Minutes are prices rounded half to even; an event known in the very minute tells."""
     tables = {
