@@ -41,7 +41,7 @@ def test_prices_of_half_a_unit(spark, tmp_path, name):
     same(spark, tmp_path, tables, name)
 
 
-@pytest.mark.parametrize("name", ["l13_code_name_pairs"])
+@pytest.mark.parametrize("name", ["l13_code_name_pairs", "t14_entities"])
 def test_a_number_ends_a_text(spark, tmp_path, name):
     """A card number or six digits at a text's end are no code of the name said beside the text."""
     tables = {
