@@ -22,6 +22,8 @@ NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
 SAMPLE, LISTS = 50_000, 32
 #: Lists that a search meets, and neighbours that it gives.
 PROBES, TOP = 22, 10
+#: Points, and queries, of a list that meet in one task: 32 MB of 64 entries each.
+BLOCK = 65_536
 
 POINT = "point_id string, vec_id long, vector array<double>, payload string, effect_key string"
 
@@ -99,10 +101,46 @@ def upsert(made: DataFrame, path: str, cells: np.ndarray) -> None:
 def search(index: DataFrame, queries: DataFrame, cells: np.ndarray, probes: int = PROBES, top: int = TOP) -> DataFrame:
     """(query_id, rank, vec_id, score): of the points in the lists nearest to each query (query_id, vector), the top by cosine.
 
-    Ties go to the smaller vec_id. A query's best of each task are ranked before the shuffle. With as many probes as lists it is exact.
+    Ties go to the smaller vec_id. With as many probes as lists it is exact. Lists and their queries are cut into blocks of BLOCK
+    rows, so none is whole in a task; a block's queries meet its points in products of matrices and leave it with their top alone.
     """
     asked = nearest(queries.select("query_id", unit(F.col("vector")).alias("wanted")).where("wanted IS NOT NULL"), "wanted", cells, probes)
-    score = F.aggregate(F.zip_with("vector", "wanted", lambda a, b: a * b), F.lit(0.0), lambda t, x: t + x)
-    met = index.join(asked, "list").select("query_id", "vec_id", score.alias("score"))
+    blocks = lambda rows: max(1, -(-(rows.groupBy("list").count().agg(F.max("count")).first()[0] or 0) // BLOCK))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
+    points, asks = blocks(index), blocks(asked)
+    left = index.select("list", "vec_id", "vector", F.pmod(F.xxhash64("vec_id"), F.lit(points)).alias("block"), F.explode(upto(asks)).alias("part"))
+    right = asked.select("list", "query_id", "wanted", F.explode(upto(points)).alias("block"), F.pmod(F.xxhash64("query_id"), F.lit(asks)).alias("part"))
+    kind = dict(right.dtypes)["query_id"]
+
+    def best(mine: pa.Table, their: pa.Table) -> pa.Table:
+        ids, asking, held = mine["vec_id"].to_numpy(), their["query_id"].combine_chunks(), [([], [], [])]
+        if len(ids) and len(asking):
+            v, q = (t[c].combine_chunks().flatten().to_numpy().reshape(len(t), -1) for t, c in ((mine, "vector"), (their, "wanted")))
+            held = [(first + rows, ids[found], scores) for first in range(0, len(q), 64) for rows, found, scores in [_best(v, ids, q[first : first + 64], top)]]
+        rows, found, scores = (np.concatenate(c) for c in zip(*held, strict=True))
+        return pa.table({"query_id": asking.take(pa.array(rows.astype(np.int64))), "vec_id": pa.array(found.astype(np.int64)), "score": pa.array(scores.astype(np.float64))})
+
+    keys = ["list", "block", "part"]
+    met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(best, f"query_id {kind}, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
+
+
+def _best(v: np.ndarray, ids: np.ndarray, q: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of q, row of v, score) of the top of every row of q; ties go to the smaller id.
+
+    The product of the matrices only tells who may be among the top. Their scores are added up entry by entry, so that equal
+    vectors get equal ones wherever they stand.
+    """
+    near = q @ v.T
+    if len(v) > top:
+        rows, found = np.nonzero(near >= np.partition(near, len(v) - top, axis=1)[:, len(v) - top, None] - 1e-9)
+    else:
+        rows, found = (i.ravel() for i in np.indices(near.shape))
+    scores = np.zeros(len(rows))
+    for d in range(v.shape[1]):
+        scores += v[found, d] * q[rows, d]
+    order = np.lexsort((ids[found], -scores, rows))
+    rows, found, scores = rows[order], found[order], scores[order]
+    place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+    return rows[place < top], found[place < top], scores[place < top]

@@ -54,3 +54,20 @@ def test_search(spark, tmp_path):
             got.setdefault(r.query_id, []).append(r.vec_id)
         assert got.keys() == best.keys() and all(g[0] == q and len(g) == 10 for q, g in got.items())
         assert np.mean([len(set(got[q]) & set(best[q])) / 10 for q in best]) >= least
+
+
+def test_search_in_small_blocks(spark, tmp_path, monkeypatch):
+    """Blocks of few rows give what one block gives, and many equal vectors go by their ids."""
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(300, 8))
+    v[40:140] = v[7]
+    made, path = table(spark, [(i, x, "p") for i, x in enumerate(v)]), str(tmp_path / "index")
+    cells = vectors.centres(made, 3)
+    vectors.upsert(made, path, cells)
+    asked = made.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "vector")
+    got = []
+    for block in (65_536, 7):
+        monkeypatch.setattr(vectors, "BLOCK", block)
+        got.append(sorted(map(tuple, vectors.search(vectors.read(spark, path), asked, cells, 3).collect())))
+    assert got[0] == got[1] and len(got[0]) == 150
+    assert [r[2] for r in got[0] if r[0] == 60] == [7, *range(40, 49)]
