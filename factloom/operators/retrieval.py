@@ -50,3 +50,16 @@ def nearest(vectors: DataFrame, query: DataFrame, id_col: str, vector_col: str,
     one = query.select(F.col(vector_col).alias("__q")).limit(1)
     scored = vectors.crossJoin(F.broadcast(one)).select(id_col, cosine(F.col(vector_col), F.col("__q")).alias("score"))
     return scored.orderBy(F.desc("score"), id_col).limit(limit)
+
+
+def one_edit(rows: DataFrame, keys: Sequence[str], name: str, other: str) -> DataFrame:
+    """(keys, name, other): names of the same keys that differ in one character at most, each with itself too, in both orders.
+
+    Such names are equal, or are once a character is left out of one or both. So every distinct name is dealt by itself and by what
+    it is without each of its characters, and only names that share one of these are compared: rows grow with names, not with pairs.
+    """
+    names = rows.where(F.col(name).isNotNull()).select(*keys, name).distinct()
+    without = F.transform(F.sequence(F.lit(1), F.greatest(F.length(name), F.lit(1))), lambda i: F.concat(F.substr(F.col(name), F.lit(1), i - 1), F.substr(F.col(name), i + 1)))
+    dealt = names.withColumn("__short", F.explode(F.array_distinct(F.concat(F.array(name), without))))
+    pairs = dealt.join(dealt.withColumnRenamed(name, other), [*keys, "__short"]).select(*keys, name, other).distinct()
+    return pairs.where(F.levenshtein(name, other, 1) >= 0)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from factloom.functions import text as tx
+from factloom.operators import retrieval
 from factloom.plans.catalog import dealt, query, table, tuples
 
 ENGLISH_KINDS = {"CATALYST": ("with",), "RISK": ("und", "risk"), "VALUATION": ("pe", "pb"), "EARNINGS": ("que",)}
@@ -186,10 +187,11 @@ def t24_edit_distance(spark, sf_dir):
 )
 def j20_fuzzy_names(spark, sf_dir):
     """Entities of the same window whose names differ in one character at most."""
-    part = table(spark, sf_dir, "part")
-    left = part.selectExpr("p_partkey AS left_key", "p_brand", "p_size", "p_name AS a")
-    right = part.selectExpr("p_partkey AS right_key", "p_brand", "p_size", "p_name AS b")
-    return left.join(right, ["p_brand", "p_size"]).where((F.col("left_key") < F.col("right_key")) & (F.levenshtein("a", "b", 1) >= 0)).select("left_key", "right_key")
+    part = table(spark, sf_dir, "part").where("p_name IS NOT NULL").select("p_partkey", "p_brand", "p_size", "p_name")
+    names = retrieval.one_edit(part, ["p_brand", "p_size"], "p_name", "other")
+    left = part.withColumnRenamed("p_partkey", "left_key").join(names, ["p_brand", "p_size", "p_name"]).select("left_key", "p_brand", "p_size", "other")
+    right = part.selectExpr("p_partkey AS right_key", "p_brand", "p_size", "p_name AS other")
+    return left.join(right, ["p_brand", "p_size", "other"]).where("left_key < right_key").select("left_key", "right_key")
 
 
 PLAYLISTS = "(1, '#EXTM3U'), (2, '#EXT-X-KEY:METHOD=NONE'), (3, '#ext-x-key:method=aes-128,URI=k'), (4, '#EXT-X-KEY:METHOD=SAMPLE-AES'), (5, '#EXT-X-KEY:FOO')"

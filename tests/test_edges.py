@@ -5,6 +5,7 @@ import pytest
 from test_oracles import plain
 
 import __spark_entry__ as entry
+from factloom.operators import retrieval
 
 
 def same(spark, folder, tables, name):
@@ -49,3 +50,16 @@ def test_a_number_ends_a_text(spark, tmp_path, name):
         "benchmark": "SELECT 1::BIGINT AS item_id, 'an item of more than forty characters, all of them plain' AS text",
     }
     same(spark, tmp_path, tables, name)
+
+
+def test_names_of_one_edit(spark, tmp_path):
+    """Equal names, and those that differ by a character put in, left out or changed, at either end too; nulls and empty names."""
+    names = ["", "a", "b", "ab", "ba", "abc", "abd", "xabc", "abcx", "abxc", "acb", "aabc", "ring", "rings", "rin", "hot bolt", "hot bold", "hot bot"]
+    values = ", ".join(f"({i}, '{n}', 'B{i % 2}', {i % 3})" for i, n in enumerate(names * 7)) + ", (900, NULL, 'B0', 0), (901, 'a', NULL, 0)"
+    same(spark, tmp_path, {"part": f"SELECT CAST(k AS BIGINT) AS p_partkey, n AS p_name, b AS p_brand, s AS p_size FROM (VALUES {values}) AS t(k, n, b, s)"}, "j20_fuzzy_names")
+
+
+def test_names_are_not_compared_in_pairs(spark):
+    """Many different names in one group give each itself."""
+    rows = spark.range(3000).selectExpr("1 AS k", "md5(CAST(id AS STRING)) AS n")
+    assert retrieval.one_edit(rows, ["k"], "n", "m").where("n = m").count() == 3000
