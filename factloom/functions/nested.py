@@ -28,6 +28,8 @@ REDACTED = "<redacted>"
 _EXACT = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 #: Texts with any of these may have another normal form; all others are their own (marks, jamo, and what has a canonical twin).
 _MAY_CHANGE = r"[\p{M}\u0374\u037E\u0387\u1100-\u11FF\u1F00-\u1FFF\u2000\u2001\u2126\u212A\u212B\u2329\u232A\u2ADC\uF900-\uFAFF\uFB00-\uFB4F\x{1D15E}-\x{1D1C0}\x{2F800}-\x{2FA1F}]"
+#: An escape in JSON before a character that might join with its last letter.
+_AFTER_ESCAPE = re.compile(r"\\(?:u[0-9A-Fa-f]{4}|.)[^\x00-\x7f]")
 _INSTANT = r"^\d{4}-\d\d-\d\dT\d\d:\d\d(:\d\d(\.\d{1,6})?)?(Z|[+-]\d\d:?\d\d)$"
 _ESCAPES = {"\b": "\\b", "\t": "\\t", "\n": "\\n", "\f": "\\f", "\r": "\\r"}
 
@@ -127,7 +129,7 @@ def canonical(value: Column, kind: T.DataType, key: str | None = None) -> Column
 
 
 def _listed(opened: str, texts: Column, closed: str) -> Column:
-    return F.when(~F.exists(texts, lambda t: t.isNull()), F.concat(F.lit(opened), F.array_join(texts, ","), F.lit(closed)))
+    return _let(texts, lambda made: F.when(~F.exists(made, lambda t: t.isNull()), F.concat(F.lit(opened), F.array_join(made, ","), F.lit(closed))))
 
 
 def _order(item: Column, kind: T.StructType, key: str) -> list[Column]:
@@ -151,7 +153,12 @@ def _normalised(texts: pd.Series) -> pd.Series:
     def literal(m: re.Match) -> str:
         return json.dumps(unicodedata.normalize("NFC", json.loads(m[0], strict=False)), ensure_ascii=False)
 
-    return texts.map(lambda t: None if t is None else re.sub(r'"(?:[^"\\]|\\.)*"', literal, t))
+    def text(t: str | None) -> str | None:
+        if t is None or not _AFTER_ESCAPE.search(t):  # quotes and all else that JSON adds never join with a mark
+            return t and unicodedata.normalize("NFC", t)
+        return re.sub(r'"(?:[^"\\]|\\.)*"', literal, t)
+
+    return texts.map(text)
 
 
 def normal_form(df: DataFrame, column: str) -> DataFrame:

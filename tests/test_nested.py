@@ -6,6 +6,7 @@ import json
 import re
 import unicodedata
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -111,3 +112,16 @@ def test_redaction_at_any_depth(spark):
     one, none = (r.v and r.v.asDict(recursive=True) for r in got.collect())
     hidden = nested.REDACTED
     assert none is None and one == {"apiKey": hidden, "fencing_token": 7, "deep": [{"note": "token=<redacted>&x", "sessions": {"k": [{"password": hidden, "url": "https://h/p"}, None], "my secret": None}}, None], "m": {"cookie": None, "Fencing_Token": 2, "n": 3}}
+
+
+def test_arrays_are_made_once(spark):
+    """However deep arrays are nested, each text of an inner value is made once."""
+    kind = spark.createDataFrame([], "v array<array<array<array<int>>>>").schema["v"].dataType
+    made = nested.canonical(F.col("v"), kind)._jc.toString()
+    assert made.count("array_join") == 4
+
+
+def test_texts_of_json_in_normal_form():
+    """Whole texts and single literals get the same normal form, but for letters of escapes, which stay."""
+    texts = ['["e\u0301", "\\"2\\" e\u0301"]', '["\\n\u0301"]', '["a\\u000b\u0301"]', '""', None]
+    assert list(nested._normalised.func(pd.Series(texts))) == ['["\u00e9", "\\"2\\" \u00e9"]', '["\\n\u0301"]', '["a\\u000b\u0301"]', '""', None]
