@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.operators.clocks import asof_each
+from factloom.operators.clocks import asof_each, placed
 from factloom.operators.packing import reached
 from factloom.sources.shared import written
 
@@ -93,7 +93,7 @@ def append(stored: DataFrame, batch: DataFrame, key: str, seq: str, event_hash:
     WRONG_HASH: event_hash isn't right_hash (a column of batch's), or the key is null. REPEATED: an event with the same logical identity is
     stored or was appended before. APPENDED: previous_hash is the hash of the chain's end at that moment, or the chain is
     empty and it is null or not (an empty chain takes any first event). FORKED: all others. stored (key, event_hash,
-    previous_hash, logical) holds sound chains: one end each. Events of equal seq are taken in order of their hashes.
+    previous_hash, logical) holds sound chains: one end each. Events of equal seq are taken in order of their hashes; an event's place in that order stands for it.
 
     Which event extends an end is known without a walk: the first one after it that names it. So the appended events are
     those that a key's end reaches over such links, found by doubling the links, in log2(batch) rounds; no key's batch is
@@ -101,8 +101,9 @@ def append(stored: DataFrame, batch: DataFrame, key: str, seq: str, event_hash:
     none is left; every round settles one more event of each key at least.
     """
     cols = batch.columns
-    rows = batch.withColumn("__order", F.struct(seq, event_hash, F.monotonically_increasing_id().alias("i")))
-    rows = written(rows.select(*cols, "__order", (F.col(key).isNotNull() & F.coalesce(F.col(event_hash) == right_hash, F.lit(False))).alias("__right")))
+    right = (F.col(key).isNotNull() & F.coalesce(F.col(event_hash) == right_hash, F.lit(False))).alias("__right")
+    rows = placed(batch.select(F.struct(*cols).alias("__row"), right), [f"__row.`{seq}`", f"__row.`{event_hash}`"])
+    rows = rows.select("__row.*", "__right", F.col("at").alias("__order"))
     ends = stored.select(key, F.col(event_hash).alias("__end")).join(stored.select(F.col(key).alias("__k"), F.col(previous_hash).alias("__p")), (F.col(key) == F.col("__k")) & (F.col("__end") == F.col("__p")), "left_anti")
     held = stored.select(F.col(key).alias("__k"), F.col(logical).alias("__l")).distinct()
     known = rows.where("__right").join(held, (F.col(key) == F.col("__k")) & (F.col(logical) == F.col("__l")), "left_semi").select("__order")
