@@ -6,19 +6,45 @@ makes small enough, and Spark deals and shuffles them. Inside a block there is n
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
 
+def squeezed(text: str | None) -> str:
+    """The text without white space."""
+    return "".join((text or "").split())
+
+
+def first_alike(texts: Iterable[str], text: str, least: float) -> int | None:
+    """Place of the first of the squeezed texts that the squeezed text is like: equal, contained, or of a gestalt ratio of at least `least`.
+
+    The ratio is worked out only where its two upper bounds, the lengths and the letters in common, allow it; what the matcher
+    holds of the text is made once.
+    """
+    if not text:
+        return None
+    matcher = None
+    for i, other in enumerate(texts):
+        if not other:
+            continue
+        if other in text or text in other:
+            return i
+        if 2 * min(len(other), len(text)) / (len(other) + len(text)) < least:
+            continue
+        if matcher is None:
+            matcher = SequenceMatcher(a="", b=text)
+        matcher.set_seq1(other)
+        if matcher.quick_ratio() >= least and matcher.ratio() >= least:
+            return i
+    return None
+
+
 def alike(a: str, b: str, least: float) -> bool:
     """Equal, contained, or of a gestalt ratio of at least `least`, white space ignored."""
-    a, b = "".join(a.split()), "".join(b.split())
-    if not a or not b:
-        return False
-    return a in b or b in a or SequenceMatcher(a=a, b=b).ratio() >= least
+    return first_alike([squeezed(a)], squeezed(b), least) is not None
 
 
 def merge_near(units: DataFrame, keys: Sequence[str], uid: str, statement: str, least: float = 0.84) -> DataFrame:
@@ -26,14 +52,18 @@ def merge_near(units: DataFrame, keys: Sequence[str], uid: str, statement: str,
     names = [*keys, uid]
 
     def fold(block: pd.DataFrame) -> pd.DataFrame:
-        kept, out = [], []
+        kept, texts, equal, out = [], [], {}, []
         for row in block.sort_values(uid).itertuples(index=False):
-            text = getattr(row, statement) or ""
-            home = next((u for u, t in kept if alike(t, text, least)), None)
-            if home is None:
-                home = getattr(row, uid)
-                kept.append((home, text))
-            out.append([*(getattr(row, k) for k in names), home])
+            text = squeezed(getattr(row, statement))
+            # an equal text before it went through the same kept ones, and joined or became one of them
+            at = equal.get(text) if text else None
+            at = first_alike(texts, text, least) if at is None else at
+            if at is None:
+                at = len(kept)
+                kept.append(getattr(row, uid))
+                texts.append(text)
+            equal[text] = at
+            out.append([*(getattr(row, k) for k in names), kept[at]])
         return pd.DataFrame(out, columns=[*names, "kept_uid"])
 
     types = dict(units.dtypes)
@@ -48,8 +78,8 @@ def select_distinct_top(units: DataFrame, keys: Sequence[str], uid: str, stateme
         ordered = block.sort_values([*priority, uid], ascending=[False] * len(priority) + [True])
         chosen, out = [], []
         for row in ordered.itertuples(index=False):
-            text = getattr(row, statement) or ""
-            if any(alike(text, t, least) for t in chosen):
+            text = squeezed(getattr(row, statement))
+            if text and any(first_alike([text], t, least) is not None for t in chosen):
                 continue
             chosen.append(text)
             out.append([*(getattr(row, k) for k in names), len(chosen)])

@@ -1,11 +1,14 @@
 """Queries against their SQL on small tables with rows that the given ones hold only at larger sizes."""
 
+import random
+from difflib import SequenceMatcher
+
 import duckdb
 import pytest
 from test_oracles import plain
 
 import __spark_entry__ as entry
-from factloom.operators import retrieval
+from factloom.operators import ordered, retrieval
 
 
 def same(spark, folder, tables, name):
@@ -63,3 +66,24 @@ def test_names_are_not_compared_in_pairs(spark):
     """Many different names in one group give each itself."""
     rows = spark.range(3000).selectExpr("1 AS k", "md5(CAST(id AS STRING)) AS n")
     assert retrieval.one_edit(rows, ["k"], "n", "m").where("n = m").count() == 3000
+
+
+def test_first_alike():
+    """As plain ratios say it, for texts around the limit; few ratios are worked out."""
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abcd ") for _ in range(rng.randrange(30))) for _ in range(120)]
+    texts += [t[:k] + rng.choice("abx") + t[k + 1 :] for t in texts for k in (3, 9)]
+
+    def plain(a, b):
+        a, b = "".join(a.split()), "".join(b.split())
+        return bool(a and b) and (a in b or b in a or SequenceMatcher(a=a, b=b).ratio() >= 0.84)
+
+    for b in texts[::5]:
+        want = next((i for i, a in enumerate(texts) if plain(a, b)), None)
+        assert ordered.first_alike([ordered.squeezed(a) for a in texts], ordered.squeezed(b), 0.84) == want
+
+
+def test_ratios_that_cannot_reach_the_limit(monkeypatch):
+    """Texts without letters in common are never matched."""
+    monkeypatch.setattr(SequenceMatcher, "ratio", lambda self: pytest.fail("a ratio was worked out"))
+    assert not ordered.alike("abcdefgh", "stuvwxyz", 0.84)
