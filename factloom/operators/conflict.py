@@ -21,8 +21,19 @@ def window_key(day: Column, days: int = 30) -> Column:
     return F.coalesce(F.concat(F.lit("window-"), F.floor((F.unix_date(day) + ORDINAL) / days).cast("string")), F.lit("no-time"))
 
 
-def detect(claims: DataFrame, keys: Sequence[str], value: str, ids: str) -> DataFrame:
-    """Groups in which a value is disputed: (keys, n_claims, n_values, first_id)."""
+#: Parts into which detect's callers deal what one task of a scan reads: a task then holds a fraction of a split's claims.
+PARTS = 8
+
+
+def detect(claims: DataFrame, keys: Sequence[str], value: str, ids: str, parts: int | None = None) -> DataFrame:
+    """Groups in which a value is disputed: (keys, n_claims, n_values, first_id).
+
+    Most groups are small, so counting before the shuffle saves few rows and holds all of a split's. With parts claims are dealt
+    by their keys first, to parts tasks or as many as shuffles have, if those are more.
+    """
+    if parts is not None:
+        least = int(claims.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        claims = claims.select(*keys, value, ids).repartition(max(parts, least), *keys)
     groups = claims.groupBy(*keys).agg(F.count("*").alias("n_claims"), F.countDistinct(value).alias("n_values"), F.min(ids).alias("first_id"))
     return groups.where("n_values > 1")
 

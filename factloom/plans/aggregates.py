@@ -20,7 +20,8 @@ def claims(spark, sf_dir):
 @query("g1_conflicts", f"SELECT l_partkey, w, count(*) AS n_claims, count(DISTINCT value) AS n_values, min(claim_id) AS first_id FROM ({CLAIMS_SQL}) GROUP BY l_partkey, w HAVING count(DISTINCT value) > 1")
 def g1_conflicts(spark, sf_dir):
     """Parts with more than one claimed quantity in the same window."""
-    return conflict.detect(claims(spark, sf_dir), ["l_partkey", "w"], "value", "claim_id")
+    splits = table(spark, sf_dir, "lineitem").rdd.getNumPartitions()
+    return conflict.detect(claims(spark, sf_dir), ["l_partkey", "w"], "value", "claim_id", conflict.PARTS * splits)
 
 
 @query(

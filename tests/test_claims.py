@@ -57,3 +57,22 @@ def test_every_rule(spark):
 def test_numbers(spark, text):
     want = {re.sub(r"\s+", "", t).replace("％", "%").upper() for p in claims.NUMBER_PATTERNS for t in re.findall(p, text)}
     assert set(spark.createDataFrame([(text,)], "t string").select(claims.numbers(F.col("t")).alias("n")).first().n) == want
+
+
+def test_conflicts_are_dealt_to_more_tasks_as_a_table_has_more_splits(spark, tmp_path):
+    from factloom.plans import aggregates
+
+    sql = "SELECT id % 50 AS l_partkey, id AS l_orderkey, 1 AS l_linenumber, CAST(id % 3 AS DOUBLE) AS l_quantity, 0.0D AS l_discount, 1L AS l_suppkey, TIMESTAMP_NTZ'1995-01-02 00:00:00' AS l_shipdate FROM range(600)"
+    spark.sql(sql).repartition(6).write.parquet(f"{tmp_path}/lineitem.parquet")
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        splits = spark.read.parquet(f"{tmp_path}/lineitem.parquet").rdd.getNumPartitions()
+        found = aggregates.g1_conflicts(spark, str(tmp_path))
+        assert splits >= 6 and found.rdd.getNumPartitions() == 8 * splits
+        got = {(r.l_partkey, r.n_claims, r.n_values, r.first_id) for r in found.collect()}
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert got == {(k, 12, 3, k * 10 + 1) for k in range(50)}
