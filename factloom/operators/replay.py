@@ -54,16 +54,16 @@ def ancestry(wanted: DataFrame, snapshots: DataFrame, snapshot: str, parents: Se
     taken off one layer after the other, over the snapshots reached, whichever root reached them.
     """
     parent = F.explode(F.array_distinct(F.array(*[F.col(c) for c in parents])))
-    edges = written(snapshots.select(F.col(snapshot).alias("child"), parent.alias("parent")).where("parent IS NOT NULL").distinct())
     known = snapshots.select(F.col(snapshot).alias("snapshot")).where("snapshot IS NOT NULL").distinct()
+    edges = snapshots.select(F.col(snapshot).alias("child"), parent.alias("parent")).where("parent IS NOT NULL").distinct()
+    edges = written(edges.join(known, F.col("parent") == F.col("snapshot"), "left").select("child", "parent", F.col("snapshot").isNotNull().alias("there")))
     roots = wanted.select(F.col(wanted.columns[0]).alias("root")).where("root IS NOT NULL").distinct()
     frontier = written(roots.join(known, F.col("root") == F.col("snapshot"), "left").select("root", "snapshot"))
     absent = frontier.where("snapshot IS NULL").selectExpr("root", f"'{MISSING}' AS code", "root AS snapshot", "snapshot AS parent")
     frontier = frontier.where("snapshot IS NOT NULL")
     reached, lost = frontier, []
     while True:
-        steps = frontier.join(edges, F.col("snapshot") == F.col("child")).select("root", "child", "parent")
-        steps = written(steps.join(known, F.col("parent") == F.col("snapshot"), "left").select("root", "child", "parent", F.col("snapshot").isNotNull().alias("there")))
+        steps = written(frontier.join(edges, F.col("snapshot") == F.col("child")).select("root", "child", "parent", "there"))
         lost.append(steps.where("NOT there").selectExpr("root", f"'{MISSING}' AS code", "child AS snapshot", "parent"))
         frontier = written(steps.where("there").selectExpr("root", "parent AS snapshot").distinct().join(reached, ["root", "snapshot"], "left_anti"))
         if not frontier.head(1):
@@ -73,7 +73,7 @@ def ancestry(wanted: DataFrame, snapshots: DataFrame, snapshot: str, parents: Se
     for found in lost:
         absent = absent.unionByName(found)
     unsettled = written(reached.select("snapshot").distinct())
-    inner = written(edges.join(unsettled.select(F.col("snapshot").alias("child")), "child", "left_semi").join(unsettled.select(F.col("snapshot").alias("parent")), "parent", "left_semi").select("child", "parent"))
+    inner = written(edges.where("there").join(unsettled.select(F.col("snapshot").alias("child")), "child", "left_semi").join(unsettled.select(F.col("snapshot").alias("parent")), "parent", "left_semi").select("child", "parent"))
     while True:
         waiting = inner.select(F.col("child").alias("parent")).distinct()
         if not inner.join(waiting, "parent", "left_anti").head(1):

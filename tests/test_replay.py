@@ -123,3 +123,19 @@ def test_a_long_chain_takes_few_rounds(spark):
     batch = [(1, i, f"h{i}", f"h{i - 1}", f"l{i}", f"h{i}") for i in range(700)]
     got = replay.append(spark.createDataFrame([(1, "h-1", None, "l-1")], "k long, h string, p string, l string"), spark.createDataFrame(batch, "k long, seq long, h string, p string, l string, own string"), "k", "seq", "h", "p", "l", F.col("own"))
     assert got.where("verdict = 'APPENDED'").count() == 700
+
+
+def test_ancestry_looks_parents_up_once(spark):
+    """However long a path is, snapshots are not read again in each round."""
+    read, n = spark.sparkContext.accumulator(0), 12
+
+    @F.udf("long")
+    def seen(x):
+        read.add(1)
+        return x
+
+    held = spark.range(n, numPartitions=1).select(seen("id").alias("id"), (F.col("id") - 1).alias("parent"))
+    reached, faults = replay.ancestry(spark.sql(f"SELECT {n - 1}L AS id"), held, "id", ["parent"])
+    assert reached.count() == n
+    assert [tuple(r) for r in faults.collect()] == [(n - 1, replay.MISSING, 0, -1)]
+    assert read.value <= 8 * n
