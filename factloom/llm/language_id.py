@@ -18,6 +18,7 @@ input. No shuffle of texts.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -25,6 +26,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from factloom.llm.common import small_batches
 
@@ -90,23 +92,35 @@ class Model:
         ranked = [c for c, _ in sorted(known.items(), key=lambda x: (-x[1], x[0]))]
         self.letters, self.rare = ranked[:letters], ranked[letters : letters + DIGITS**4]
         self.width = letters + DIGITS + 2
-        table, parts, self.roots, base = self.table(), [], [], 0
+        table = self.table()
+        codes = {lang: encode(texts[lang], table) for lang in self.langs}
+        # One table from the start, of two states a symbol at most: the driver never holds a second copy, and what isn't written to takes no memory.
+        self.next = np.empty(sum(2 * len(c) + 2 for c in codes.values()) * self.width, dtype=np.int32)
+        self.roots, base = [], 0
         for lang in self.langs:
-            step = automaton(encode(texts[lang], table).tolist())
+            step = automaton(codes.pop(lang).tolist())
             # One state more stands for a phrase of one character that the sample never has.
-            dense = np.full((len(step) + 1, self.width), -1, dtype=np.int64)
+            dense = self.next[base : base + (len(step) + 1) * self.width].reshape(-1, self.width)
+            first = np.full(self.width, base + len(step) * self.width, dtype=np.int32)
+            for c, q in step[0].items():
+                first[c] = base + q * self.width
+            dense[:] = ~first
             for state, to in enumerate(step):
                 for c, q in to.items():
                     dense[state, c] = base + q * self.width
-            first = np.where(dense[0] >= 0, dense[0], base + len(step) * self.width)
-            dense = np.where(dense >= 0, dense, ~first)
             dense[0] = first
-            parts.append(dense.astype(np.int32).ravel())
             self.roots.append(base)
             base += dense.size
-        self.next = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+        self.next = self.next[:base]
         self.usual = 0.0
 
+    def __getstate__(self) -> dict:
+        """Tables are sent compressed, to a few hundredths of their size."""
+        return self.__dict__ | {"next": zlib.compress(self.next, 1)}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ = state | {"next": np.frombuffer(zlib.decompress(state["next"]), dtype=np.int32)}
+
     def table(self) -> np.ndarray:
         """Of each code point the symbol, or SPELLED and more for letters that are spelled out."""
         table = np.fromiter(map(str.isalpha, map(chr, range(0x110000))), dtype=np.uint32, count=0x110000) * np.uint32(OTHER)
@@ -180,7 +194,9 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     # A window of a text that has several; the windows of a text are as many characters as its share.
     w = max(1, own // max([min(per_lang, *known.values()) if known else 1, 1]) // WINDOWS - 1)
     spread = F.expr(f"IF(char_length(text) <= {WINDOWS * w}, text, array_join(transform(sequence(0, {WINDOWS - 1}), i -> substring(text, CAST(1 + i * (char_length(text) - {w}) / {WINDOWS - 1} AS INT), {w})), ' '))")
-    found = labelled.where(F.col("doc_id").isin([r.doc_id for r in ids])).groupBy("lang", "doc_id").agg(F.min(spread).alias("part")).collect()
+    # A join, since the driver's memory grows with a plan of as many literals.
+    chosen = docs.sparkSession.createDataFrame([(r.doc_id,) for r in ids], T.StructType([labelled.schema["doc_id"]]))
+    found = labelled.join(F.broadcast(chosen), "doc_id", "left_semi").groupBy("lang", "doc_id").agg(F.min(spread).alias("part")).collect()
     parts = {(r.lang, r.doc_id): r.part for r in found if r.part}
     samples: dict[str, list[str]] = {}
     rest: dict[str, list[str]] = {}

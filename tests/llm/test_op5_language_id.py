@@ -1,4 +1,6 @@
+import pickle
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -106,3 +108,19 @@ def test_windows_are_spread_over_whole_texts(spark):
     rows = [(i, ("the and of to " * 3000) + "quip" * 3000, "en", "s", "c") for i in range(1, 30)]
     model = li.learn(spark.createDataFrame(rows, SCHEMA))
     assert "q" in model.letters
+
+
+def test_tables_are_built_once_and_sent_small():
+    """The driver holds one copy of the tables while it builds them, and what it sends is a fraction of them."""
+    r = random.Random(4)
+    samples = {k: [" ".join("".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 9))) for _ in range(1500))] for k in "xyz"}
+    tracemalloc.start()
+    model = li.Model(samples)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3 * model.next.nbytes
+    sent = pickle.dumps(model)
+    assert len(sent) < model.next.nbytes / 4
+    again = pickle.loads(sent)
+    assert (again.next == model.next).all() and again.roots == model.roots
+    assert again.predict(samples["y"], again.table()) == model.predict(samples["y"], model.table())
