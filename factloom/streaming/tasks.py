@@ -6,10 +6,11 @@ the requests' own: a lease runs out when the watermark passes its end, whether o
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
-from datetime import datetime
 
-from pyspark.sql import DataFrame, Row, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -68,6 +69,14 @@ def decide(held: tuple, request: tuple, now_ms: int) -> tuple[str, tuple]:
     return "OK", (target, None if done else owner, token, None if done else until, attempt + (target == "RETRYING"))
 
 
+#: A request as the processor is given it, in the order in which a batch's requests are taken, and what it gives back of each
+#: outcome; `us` are microseconds. Both are JSON in one column, since each column of each key costs as much as many requests.
+_ASKED = "to_json(struct(unix_micros(at) AS us, seq, action, owner, token, ttl_s, target), map('ignoreNullFields', 'false')) AS asked"
+_GIVEN = "array<struct<task_id: long, seq: long, us: long, action: string, outcome: string, state: string, owner: string, token: long, attempt: int>>"
+#: Outcomes of a key that are one row on their way back.
+_TOGETHER = 10_000
+
+
 class TaskRuns(StatefulProcessor):
     """One task run a key: a batch's requests in order of (at, seq), and a timer at the end of the lease that it then holds.
 
@@ -79,25 +88,30 @@ class TaskRuns(StatefulProcessor):
         self.handle = handle
         self.run = handle.getValueState("run", _STATE)
 
-    def _outcome(self, key, seq, at, action, outcome, held) -> Row:
+    def _outcomes(self, rows: list[dict]) -> Iterator[pd.DataFrame]:
+        for n in range(0, len(rows), _TOGETHER):
+            yield pd.DataFrame({"given": [json.dumps(rows[n : n + _TOGETHER])]})
+
+    def _outcome(self, key, seq, us, action, outcome, held) -> dict:
         state, owner, token, _, attempt = held
-        return Row(task_id=key[0], seq=seq, at=at, action=action, outcome=outcome, state=state, owner=owner, token=token, attempt=attempt)
+        return {"task_id": key[0], "seq": seq, "us": us, "action": action, "outcome": outcome, "state": state, "owner": owner, "token": token, "attempt": attempt}
 
-    def _expired(self, key, held) -> Row:
-        return self._outcome(key, None, datetime.fromtimestamp(held[3] / 1000), "expire", "OK", held)
+    def _expired(self, key, held) -> dict:
+        return self._outcome(key, None, held[3] * 1000, "expire", "OK", held)
 
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        *held, reported = tuple(self.run.get()) if self.run.exists() else ("PENDING", None, 0, None, 0, False)
-        held, timer = tuple(held), None if reported else held[3]
-        for r in sorted(rows, key=lambda r: (r.at, r.seq)):
-            now = int(r.at.timestamp() * 1000)
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        *held, reported = self.run.get() or ("PENDING", None, 0, None, 0, False)
+        held, timer, out = tuple(held), None if reported else held[3], []
+        asked = [tuple(r.values()) for batch in rows for r in json.loads(f"[{','.join(batch['asked'])}]")]
+        for us, seq, *request in sorted(asked, key=lambda r: (r[0], r[1] is not None, r[1])):
+            now = us // 1000
             if held[3] is not None and held[3] <= now and not reported:
                 reported = True
-                yield self._expired(key, held)
+                out.append(self._expired(key, held))
             before = held[3]
-            outcome, held = decide(held, (r.action, r.owner, r.token, r.ttl_s, r.target), now)
+            outcome, held = decide(held, tuple(request), now)
             reported = reported and held[3] == before
-            yield self._outcome(key, r.seq, r.at, r.action, outcome, held)
+            out.append(self._outcome(key, seq, us, request[0], outcome, held))
         self.run.update((*held, reported))
         wanted = None if reported else held[3]
         if wanted != timer:
@@ -105,12 +119,13 @@ class TaskRuns(StatefulProcessor):
                 self.handle.deleteTimer(timer)
             if wanted is not None:
                 self.handle.registerTimer(wanted)
+        yield from self._outcomes(out)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        *held, reported = tuple(self.run.get())
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        *held, reported = self.run.get()
         if not reported and held[3] == expiredTimerInfo.getExpiryTimeInMs():
             self.run.update((*held, True))
-            yield self._expired(key, tuple(held))
+            yield from self._outcomes([self._expired(key, tuple(held))])
 
     def close(self) -> None:
         pass
@@ -124,7 +139,8 @@ def task_runs(requests: DataFrame, late: str = "10 minutes") -> DataFrame:
     """
     requests.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     known = requests.where("task_id IS NOT NULL AND at IS NOT NULL").withWatermark("at", late)
-    return known.groupBy("task_id").transformWithState(TaskRuns(), OUTCOME, "append", "EventTime")
+    found = known.selectExpr("task_id", "at", _ASKED).groupBy("task_id").transformWithStateInPandas(TaskRuns(), "given string", "append", "EventTime")
+    return found.select(F.inline(F.from_json("given", _GIVEN))).selectExpr("task_id", "seq", "timestamp_micros(us) AS at", "action", "outcome", "state", "owner", "token", "attempt")
 
 
 #: Verdicts on effects.

@@ -62,6 +62,16 @@ def test_batches_do_not_matter(spark, tmp_path, seed):
     assert stream_of(spark, tmp_path / "many", parts, restart_after=2) == stream_of(spark, tmp_path / "one", [rows])
 
 
+def test_instants_are_whole_and_unnumbered_requests_come_first(spark, tmp_path):
+    """Thousandths of a second are kept, and of requests of one instant those without a number come first."""
+    odd = 123
+    rows = [(1, 1, odd / 1000, "acquire", "a", None, 60, None), (1, 3, 60 + odd / 1000, "acquire", "b", None, 60, None), (1, None, 60 + odd / 1000, "renew", "a", 1, 60, None), (2, 4, 500, "acquire", "c'\"\\,[", 2**60 + 1, 9999, None)]
+    got = stream_of(spark, tmp_path, [rows])
+    assert [r[3:5] for r in got if r[0] == 1 and r[3] != "expire"] == [("acquire", "OK"), ("renew", "EXPIRED"), ("acquire", "OK")]
+    assert [r[2] for r in got if r[0] == 1 and r[3] == "expire"][0] == 60 + odd / 1000
+    assert [r[6] for r in got if r[0] == 2] == ["c'\"\\,["]
+
+
 def test_transitions():
     held = ("RUNNING", "a", 3, 10_000, 0)
     for state in ("PENDING", "RUNNING", "RETRYING", "PAUSED", "FAILED", "SUCCEEDED", "INVALIDATED"):
