@@ -111,5 +111,10 @@ def s18_index_rebuild(spark, sf_dir):
 
 @query("s21_array_backfill", "SELECT doc_id, CAST(generate_subscripts AS BIGINT) AS ordinal, sha256(word) AS ref FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS word, generate_subscripts(string_split(text, ' '), 1) AS generate_subscripts FROM documents)")
 def s21_array_backfill(spark, sf_dir):
-    """Array elements as rows of their own, with their place."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("p", "word")).select("doc_id", (F.col("p") + 1).cast("long").alias("ordinal"), F.sha2("word", 256).alias("ref"))
+    """Array elements as rows of their own, with their place; a task's rows of equal elements follow each other.
+
+    A hash of 64 digits takes Parquet's dictionary to its limit after some 15,000 words, and from there on each row would be
+    stored with its digits. Side by side, equal ones compress to a few bytes. Sorted are the words, before they are hashed.
+    """
+    words = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("p", "word"))
+    return words.sortWithinPartitions(F.xxhash64("word")).select("doc_id", (F.col("p") + 1).cast("long").alias("ordinal"), F.sha2("word", 256).alias("ref"))

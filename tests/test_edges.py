@@ -87,3 +87,11 @@ def test_ratios_that_cannot_reach_the_limit(monkeypatch):
     """Texts without letters in common are never matched."""
     monkeypatch.setattr(SequenceMatcher, "ratio", lambda self: pytest.fail("a ratio was worked out"))
     assert not ordered.alike("abcdefgh", "stuvwxyz", 0.84)
+
+
+def test_equal_hashes_are_stored_together(spark, tmp_path):
+    """Rows equal those of the SQL, and written they take less than half of the digits of their hashes."""
+    words = "SELECT range // 500 AS doc_id, 'w' || range * 48271 % 2147483647 % 20000 AS word FROM range(100000)"
+    rows = same(spark, tmp_path, {"documents": f"SELECT doc_id, CASE WHEN doc_id % 50 > 0 THEN string_agg(word, ' ') END AS text FROM ({words}) GROUP BY doc_id"}, "s21_array_backfill")
+    entry.queries()["s21_array_backfill"](spark, str(tmp_path)).write.parquet(f"{tmp_path}/out")
+    assert sum(p.stat().st_size for p in tmp_path.glob("out/*.parquet")) < 32 * len(rows)
